@@ -72,7 +72,7 @@ WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
 ), w AS (
   SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
 ), tri AS (
   SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
   FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)
@@ -81,14 +81,14 @@ WITH d AS (
 ), cov AS (
   SELECT rid, count(DISTINCT p) AS n_repeat FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY rid
 ), m AS (
-  SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
          len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, len(l) AS n_lines,
          length(regexp_replace(t, '[^!]+', '', 'g')) AS n_excl,
          length(regexp_replace(t, '[\x00-@\x5B-`{-\x7F]+', '', 'g')) AS n_letters,
-         len(list_filter(l, x -> regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ell,
-         len(list_filter(l, x -> regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bul,
-         len(list_filter(w, x -> list_contains([{stop}], lower(x)))) AS n_stop
+         len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ell,
+         len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bul,
+         len(list_filter(w, lambda x: list_contains([{stop}], lower(x)))) AS n_stop
   FROM w LEFT JOIN cov USING (rid)
 ), f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
