@@ -56,13 +56,19 @@ def op8_pack_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
 
 
+def op9_jaccard_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tgm_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op10_token_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wavelet import token_files
 
     return token_files(_table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_nbsvm, op2_mix_min_cost_flow, op4_nearest_vp_tree, op5_quality_rules, op6_shard_histogram_sort, op7_toxicity_char_nb, op8_pack_bin_slack, op10_token_wavelet)}
+QUERIES = {f.__name__: f for f in (op1_quality_nbsvm, op2_mix_min_cost_flow, op4_nearest_vp_tree, op5_quality_rules, op6_shard_histogram_sort, op7_toxicity_char_nb, op8_pack_bin_slack, op9_jaccard_token_groups, op10_token_wavelet)}
 
 _W = r"[^\x20\x09-\x0D]+"
 
