@@ -25,6 +25,12 @@ def op2_mix_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_gru_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gru_lm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_nearest_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vptree import nearest
 
@@ -68,7 +74,7 @@ def op10_token_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_nbsvm, op2_mix_min_cost_flow, op4_nearest_vp_tree, op5_quality_rules, op6_shard_histogram_sort, op7_toxicity_char_nb, op8_pack_bin_slack, op9_jaccard_token_groups, op10_token_wavelet)}
+QUERIES = {f.__name__: f for f in (op1_quality_nbsvm, op2_mix_min_cost_flow, op3_gru_log_likelihood, op4_nearest_vp_tree, op5_quality_rules, op6_shard_histogram_sort, op7_toxicity_char_nb, op8_pack_bin_slack, op9_jaccard_token_groups, op10_token_wavelet)}
 
 _W = r"[^\x20\x09-\x0D]+"
 
