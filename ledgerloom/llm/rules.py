@@ -101,7 +101,9 @@ def quality_rules(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: s
 def keep_good(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of documents that the table keeps, with all their columns."""
     names = documents.columns
-    extra = tuple(names)
-    if text not in names:
-        raise ValueError(f"no column {text}")
-    return quality_rules(documents, rules, text, extra).where("kept").select(*[F.col(f"`{c}`") for c in names])
+    judged = quality_rules(documents, rules, text, tuple(names))
+    # a generator instead of a filter: a filter would be pushed below the projections, and
+    # their expressions with it, once for each use
+    once = F.explode(F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    judged = judged.select(*[F.col(f"`{c}`") for c in names], once.alias("__once"))
+    return judged.select(*[F.col(f"`{c}`") for c in names])

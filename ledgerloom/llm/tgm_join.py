@@ -326,7 +326,7 @@ def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80, doc_id:
     keyed = documents.withColumn("__key", key)
     numeric = documents.schema[doc_id].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     if numeric:  # compare ids as numbers: pad them, and keep texts behind them
-        wide = F.lpad((F.col(doc_id).cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")).cast("string"), 20, "0")
+        wide = F.lpad((F.col(doc_id).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
         keyed = documents.withColumn("__key", F.coalesce(wide, key))
     best = jaccard_components(keyed.select("__key", text), words, percent, "__key", text)
     firsts = best.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__key")).distinct()
