@@ -3,8 +3,8 @@
 Documents become sets of word shingles (64-bit hashes); equal sets are one class. Similar
 classes form groups of at most GROUP members by their least rare shingle, and a group's row
 of the matrix is the union of its members' shingles. A class visits a group only if the two
-share a shingle among their rarest (the prefix that any partner must meet), and the group is
-opened only if its union holds enough of the class's shingles for some member to link. Opened
+share enough of their rarest shingles (a prefix in which any two partners meet COMMON times)
+with a member of a size that could link, and the group is opened only if its union holds enough of the class's shingles for some member to link. Opened
 groups are counted exactly, so every link between different sets is found; what leaves a task
 is a spanning forest of its links, and components come from star contractions over those.
 
@@ -26,6 +26,8 @@ GROUP = 128
 #: One document in so many is counted for the order of rarity, and so many shingles ranked.
 SAMPLE_ONE_IN = 16
 RANKED = 1_000_000
+#: Prefix shingles that two linked sets share at least.
+COMMON = 3
 #: Visitors that a task takes for one group at a time.
 VISITORS = 512
 
@@ -126,9 +128,14 @@ def rarity(texts: DataFrame, words: int) -> Rarity:
     return Rarity(got["s"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy())
 
 
+def common_of(percent: int) -> int:
+    """COMMON, or fewer where linked different sets may share fewer shingles than that."""
+    return COMMON if percent >= 100 else max(1, min(COMMON, percent // (100 - percent)))
+
+
 def _documents(texts: DataFrame, order: Rarity, words: int, percent: int, id_type: str) -> DataFrame:
     """(doc_id, n, cls, tk, prefix) of each row; tk is the hash of its text."""
-    shared = texts.sparkSession.sparkContext.broadcast(order)
+    shared, common = texts.sparkSession.sparkContext.broadcast(order), common_of(percent)
 
     def run(batches):
         rank = shared.value
@@ -138,7 +145,7 @@ def _documents(texts: DataFrame, order: Rarity, words: int, percent: int, id_typ
                 k = len(s)
                 n.append(k)
                 cls.append(set_key(s) if k else None)
-                pre.append(rank.prefix(s, k - (percent * k + 99) // 100 + 1).view(np.int64) if k else np.zeros(0, np.int64))
+                pre.append(rank.prefix(s, k - (percent * k + 99) // 100 + common).view(np.int64) if k else np.zeros(0, np.int64))
             sizes = np.concatenate([[0], np.cumsum([len(p) for p in pre])]).astype(np.int32)
             flat = np.concatenate(pre) if pre else np.zeros(0, np.int64)
             prefix = pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))
@@ -279,9 +286,11 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85,
     grouped = cls.join(big, "mh", "left").withColumn("gid", F.xxhash64("mh", F.pmod(F.xxhash64("cls"), F.coalesce("chunks", F.lit(1)))))
     grouped = materialize(grouped.select("cls", "tk", "n", "gid", "prefix"), "tgm-groups")
     # classes and groups that meet in a prefix shingle: a group's number of the pair is the larger
-    shared = grouped.select("cls", "gid", F.explode("prefix").alias("s"))
-    meet = shared.withColumn("gids", F.collect_set("gid").over(W.partitionBy("s"))).where(F.size("gids") > 1)
-    visits = meet.select("cls", F.explode(F.expr("filter(gids, g -> g > gid)")).alias("gid")).distinct()
+    shared = grouped.select("cls", "gid", "n", F.explode("prefix").alias("s"))
+    meet = shared.withColumn("there", F.collect_set(F.struct("gid", "n")).over(W.partitionBy("s"))).where(F.size("there") > 1)
+    fits = f"g.gid > gid and 100 * least(g.n, n) >= {percent} * greatest(g.n, n)"
+    visits = meet.select("cls", F.explode(F.expr(f"array_distinct(transform(filter(there, g -> {fits}), g -> g.gid))")).alias("gid"))
+    visits = visits.groupBy("cls", "gid").agg(F.count("*").alias("k")).where(F.col("k") >= common_of(percent)).drop("k")
     visits = materialize(visits, "tgm-visits")
     nv = visits.groupBy("gid").agg(F.count("*").alias("nv"))
     members = grouped.select("cls", "tk", "gid")
