@@ -9,18 +9,26 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import filterfalse
 
 import numpy as np
 
-#: Pieces that one Python worker remembers at most (about 120 MB).
-CACHE_PIECES = 500_000
-
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_SPACED = re.compile(r" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
+#: Pieces of a generation; one Python worker remembers two (about 250 MB): those met since
+#: the last change of generations and those of the one before.
+CACHE_PIECES = 600_000
+
+_SPACE = r"\x20\x09-\x0D"
+_LETTER = r"A-Za-zÀ-ÖØ-öø-ÿ"
+#: Texts of ASCII and Latin letters without an apostrophe: there words and marks are cut apart.
+_NOT_PLAIN = re.compile(rf"[^\x00-\x1b\x20-\x26\x28-\x7e{_LETTER}]")
+_WORD = re.compile(rf"[^{_SPACE}]+")
+_WORD_PLAIN = re.compile(rf"[{_LETTER}]+|[^{_SPACE}{_LETTER}]+")
+_GAPS = rf"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+_SPACED = re.compile(rf" ?[^{_SPACE}]+|{_GAPS}")
+_SPACED_PLAIN = re.compile(rf" ?[{_LETTER}]+| ?[^{_SPACE}{_LETTER}]+|{_GAPS}")
 #: White space outside ASCII that a byte-level pattern could join with ASCII white space.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -     　]")
-#: Letters that are letters for every pattern, then ASCII marks without the apostrophe.
-_SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+_LETTERS = re.compile(rf"[{_LETTER}]+")
 
 
 class PieceEncoder:
@@ -51,49 +59,71 @@ class PieceEncoder:
         else:
             self.kind = "whole"
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # ids that close a word (word kind) or open one (byte kind): where joint words part
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.edge = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        edge = [i for t, i in vocab.items() if (t.endswith("</w>") if self.kind == "word" else t.startswith("Ġ"))]
+        self.edge[edge] = True
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # each piece is asked for once
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joint(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters (byte kind: each after a space), encoded as one text
+        and parted at the ids that only stand at a word's edge."""
+        text = " ".join(words) if self.kind == "word" else "".join(words)
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        at = np.flatnonzero(self.edge[ids])
+        cut = (np.concatenate([[0], at + 1]) if self.kind == "word" else np.append(at, len(ids))) * 4
+        if len(cut) != len(words) + 1 or cut[-1] != 4 * len(ids) or cut[0]:
+            return self._direct(words)
+        data, cut = ids.tobytes(), cut.tolist()
+        return [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
     def _learn(self, new: set[str]) -> None:
-        """Cache the pieces; a word followed by marks is made of the word's and the marks' ids."""
-        cache = self.cache
-        if len(cache) + len(new) > CACHE_PIECES:
-            cache.clear()
-        parts: dict[str, tuple[str, str]] = {}
-        todo = set()
-        for x in new:
-            m = _SIMPLE.fullmatch(x)
-            if m:
-                a, b = m.groups()
-                parts[x] = (a, b)
-                todo.update(y for y in (a, b) if y not in cache)
-            else:
-                todo.add(x)
-        todo = list(todo)
-        for i in range(0, len(todo), 4096):
-            cache.update(zip(todo[i : i + 4096], self._direct(todo[i : i + 4096]), strict=True))
-        for x, (a, b) in parts.items():
-            cache[x] = cache[a] + cache[b]
+        cache, older = self.cache, self.older
+        back = [x for x in new if x in older]  # not intersection(), which would walk the dict
+        cache.update(zip(back, map(older.__getitem__, back), strict=True))
+        new.difference_update(back)
+        byte = self.kind == "byte"
+        joint = [x for x in new if (x[0] == " " and x[1:].isalpha() if byte else x.isalpha()) and _LETTERS.fullmatch(x, 1 if byte else 0)]
+        rest = list(new.difference(joint))
+        for some, how in ((joint, self._joint), (rest, self._direct)):
+            for i in range(0, len(some), 2048):
+                cache.update(zip(some[i : i + 2048], how(some[i : i + 2048]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if self.kind == "whole":
             return [np.frombuffer(x, "<u4") for x in self._direct([t or "" for t in texts])]
         out: list[np.ndarray] = []
-        cut = _WORD.findall if self.kind == "word" else _SPACED.findall
+        word = self.kind == "word"
+        plain, other = (_WORD_PLAIN.findall, _WORD.findall) if word else (_SPACED_PLAIN.findall, _SPACED.findall)
         for first in range(0, len(texts), 64):
             some = [t or "" for t in texts[first : first + 64]]
-            odd = [self.kind == "byte" and bool(_OTHER_SPACE.search(t)) for t in some]
-            pieces = [[] if o else cut(t) for t, o in zip(some, odd, strict=True)]
-            new = set().union(*pieces).difference(self.cache)
+            pieces: list[list[str] | None] = []
+            new: set[str] = set()
+            known = self.cache.__contains__
+            for t in some:
+                if not _NOT_PLAIN.search(t):
+                    p = plain(t.lower() if word else t)
+                elif word or not _OTHER_SPACE.search(t):
+                    p = other(t)
+                else:
+                    p = None
+                pieces.append(p)
+                if p:
+                    new.update(filterfalse(known, p))
+            if len(self.cache) + len(new) > CACHE_PIECES and self.cache:
+                self.older, self.cache = self.cache, {}
+                new = set().union(*(p for p in pieces if p))
             if new:
-                before = len(self.cache)
                 self._learn(new)
-                if len(self.cache) < before:  # it was emptied
-                    self._learn(set().union(*pieces).difference(self.cache))
             get = self.cache.__getitem__
-            for t, o, p in zip(some, odd, pieces, strict=True):
-                out.append(np.frombuffer(self._direct([t])[0] if o else b"".join(map(get, p)), "<u4"))
+            for t, p in zip(some, pieces, strict=True):
+                out.append(np.frombuffer(self._direct([t])[0] if p is None else b"".join(map(get, p)), "<u4"))
         return out
 
 

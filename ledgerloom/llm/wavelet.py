@@ -36,7 +36,7 @@ def build(tokens: np.ndarray, starts: np.ndarray, docs: list[str | None], bits:
     planes, zeros = [], []
     now = tokens.astype(np.uint16) if bits <= 16 else tokens
     for k in range(bits - 1, -1, -1):
-        ones = (now >> now.dtype.type(k) & now.dtype.type(1)).astype(bool)
+        ones = (now & now.dtype.type(1 << k)) != 0
         planes.append(pack.compress(np.packbits(ones, bitorder="little").tobytes()))
         left = now[~ones]
         zeros.append(len(left))
