@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cents_to_str(cents: Column) -> Column:
@@ -52,7 +53,7 @@ def transposition_candidates(ref: Column) -> Column:
     return F.transform(places, lambda i: F.concat(F.substr(ref, F.lit(1), i - 1), at(i + 1), at(i), F.substr(ref, i + 2, size)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio, order-sensitive; only pairs that passed every other test
     get here."""
