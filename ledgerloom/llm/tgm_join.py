@@ -1,8 +1,9 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Documents become sets of word shingles (64-bit hashes); equal sets are one class. Similar
-classes form groups of at most GROUP members by their least rare shingle, and a group's row
-of the matrix is the union of its members' shingles. A class visits a group only if the two
+classes form groups of about GROUP members: a set made mostly of shingles that many documents
+share goes by the smallest of those, so that near copies meet, any other set by its rarest
+shingle. A group's row of the matrix is the union of its members' shingles. A class visits a group only if the two
 share enough of their rarest shingles (a prefix in which any two partners meet COMMON times)
 with a member of a size that could link, and the group is opened only if its union holds enough of the class's shingles for some member to link. Opened
 groups are counted exactly, so every link between different sets is found; what leaves a task
@@ -78,10 +79,11 @@ class Rarity:
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.shingles >> np.uint64(42)).astype(np.int64)] = True
 
-    def prefix(self, s: np.ndarray, length: int) -> np.ndarray:
-        """The first `length` shingles of a sorted set in the order of rarity."""
+    def prefix(self, s: np.ndarray, length: int) -> tuple[np.ndarray, np.uint64]:
+        """The first `length` shingles of a sorted set in the order of rarity, and the shingle
+        that the set's group goes by."""
         if not len(self.shingles):
-            return s[:length]
+            return s[:length], s[0]
         maybe = np.flatnonzero(self.maybe[(s >> np.uint64(42)).astype(np.int64)])
         at = np.searchsorted(self.shingles, s[maybe])
         at[at == len(self.shingles)] = 0
@@ -90,9 +92,9 @@ class Rarity:
         rare = np.ones(len(s), bool)
         rare[ranked] = False
         first = s[rare][:length]
-        if len(first) == length:
-            return first
-        return np.concatenate([first, s[ranked][np.argsort(counts, kind="stable")][: length - len(first)]])
+        if len(first) < length:
+            first = np.concatenate([first, s[ranked][np.argsort(counts, kind="stable")][: length - len(first)]])
+        return first, s[ranked[0]] if 2 * len(ranked) >= len(s) else first[0]
 
 
 def rarity(texts: DataFrame, words: int) -> Rarity:
@@ -134,24 +136,27 @@ def common_of(percent: int) -> int:
 
 
 def _documents(texts: DataFrame, order: Rarity, words: int, percent: int, id_type: str) -> DataFrame:
-    """(doc_id, n, cls, tk, prefix) of each row; tk is the hash of its text."""
+    """(doc_id, n, cls, tk, prefix, mh) of each row: tk is the hash of its text, mh the shingle
+    that its group goes by."""
     shared, common = texts.sparkSession.sparkContext.broadcast(order), common_of(percent)
 
     def run(batches):
         rank = shared.value
         for batch in batches:
-            n, cls, pre = [], [], []
+            n, cls, pre, by = [], [], [], []
             for _, _, s in _each([batch], 1, words):
                 k = len(s)
                 n.append(k)
                 cls.append(set_key(s) if k else None)
-                pre.append(rank.prefix(s, k - (percent * k + 99) // 100 + common).view(np.int64) if k else np.zeros(0, np.int64))
+                p, g = rank.prefix(s, k - (percent * k + 99) // 100 + common) if k else (s, None)
+                pre.append(p.view(np.int64))
+                by.append(int(g.view(np.int64)) if k else None)
             sizes = np.concatenate([[0], np.cumsum([len(p) for p in pre])]).astype(np.int32)
             flat = np.concatenate(pre) if pre else np.zeros(0, np.int64)
             prefix = pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), batch.column(2), prefix], ["doc_id", "n", "cls", "tk", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), batch.column(2), prefix, pa.array(by, pa.int64())], ["doc_id", "n", "cls", "tk", "prefix", "mh"])
 
-    return texts.select("doc_id", "text", F.xxhash64("text").alias("tk")).mapInArrow(run, f"doc_id {id_type}, n long, cls long, tk long, prefix array<long>")
+    return texts.select("doc_id", "text", F.xxhash64("text").alias("tk")).mapInArrow(run, f"doc_id {id_type}, n long, cls long, tk long, prefix array<long>, mh long")
 
 
 class Group:
@@ -280,8 +285,8 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85,
     docs = materialize(_documents(texts, order, words, percent, id_type), "tgm-documents")
     # one row of each class
     first = W.partitionBy("cls").orderBy("tk")
-    cls = docs.where("n > 0").select("cls", "tk", "n", "prefix").withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
-    cls = materialize(cls.withColumn("mh", F.element_at("prefix", 1)), "tgm-classes")
+    cls = docs.where("n > 0").select("cls", "tk", "n", "prefix", "mh").withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+    cls = materialize(cls, "tgm-classes")
     big = cls.groupBy("mh").agg(F.count("*").alias("k")).where(F.col("k") > GROUP).select("mh", F.ceil(F.col("k") / GROUP).alias("chunks"))
     grouped = cls.join(big, "mh", "left").withColumn("gid", F.xxhash64("mh", F.pmod(F.xxhash64("cls"), F.coalesce("chunks", F.lit(1)))))
     grouped = materialize(grouped.select("cls", "tk", "n", "gid", "prefix"), "tgm-groups")
