@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _WS, combine, in_fold, steps, utf8, word_hashes, word_spans
+from .common import _LOWER, combine, in_fold, materialize, steps, utf8, word_hashes, word_spans
 
 #: Labelled rows that a fit takes at most, and those of each class that choose its features.
 SAMPLE_ROWS = 20_000
 CHOOSE_ROWS = 800
+#: Bytes of text whose features are made at once: a dozen arrays of their size are alive then.
+STEP = 1 << 18
 #: Bits of the hashed feature table.
 BITS = 22
 
@@ -114,7 +116,7 @@ class Model:
         out = np.full(n, self.bias)
         if not k:
             return out
-        for a, b in steps(offsets):
+        for a, b in steps(offsets, STEP):
             rows, feats = self.features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             at = self.slots[feats]
             hit = at >= 0
@@ -183,23 +185,47 @@ def calibrate(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def _choose(docs: list[np.ndarray], y: np.ndarray, bits: int, most: int, least_docs: int) -> np.ndarray:
-    """The table slots to use: by the G statistic of presence against class."""
-    n1, n0 = max(1, int((y > 0).sum())), max(1, int((y <= 0).sum()))
-    least_docs = min(least_docs, max(1, len(y) // 4))
-    p, q = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
-    for x, c in zip(docs, y, strict=True):
-        (p if c > 0 else q)[x] += 1
-    slots = np.flatnonzero(p + q >= least_docs)
-    a, b = p[slots].astype(float), q[slots].astype(float)
-    def part(o, e):
-        return o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12))
-    share = (a + b) / (n1 + n0)
-    g = part(a, n1 * share) + part(b, n0 * share) + part(n1 - a, n1 * (1 - share)) + part(n0 - b, n0 * (1 - share))
-    order = np.lexsort((slots, -g))
-    keep = order[:most]
-    keep = keep[g[keep] > 3.0]
-    return np.sort(slots[keep])
+def _choose(texts: DataFrame, ids: pd.DataFrame, features: Features, most: int, least_docs: int) -> np.ndarray:
+    """The table slots to use: those whose presence depends most on the class, by the G
+    statistic. Tasks count a slot's rows by class and Spark adds the counts up, so only the
+    chosen slots come to the driver, however long the texts."""
+    spark = texts.sparkSession
+    some = F.broadcast(spark.createDataFrame(ids[["id", "y"]], "id string, y int"))
+    least_docs = min(least_docs, max(1, len(ids) // 4))
+
+    def total(found):
+        slots, n = np.unique(np.concatenate(found), return_counts=True)
+        one = slots & 1
+        return pa.RecordBatch.from_arrays([pa.array((slots >> 1).astype(np.int64)), pa.array(n * one), pa.array(n * (1 - one))], ["slot", "p", "q"])
+
+    def run(batches):
+        found, size = [], 0
+        for batch in batches:
+            raw, offsets = utf8(batch.column(1))
+            y = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b in steps(offsets, STEP):
+                rows, feats = features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                pairs = np.unique(rows.astype(np.int64) << 32 | feats.astype(np.int64))
+                found += [(pairs & 0xFFFFFFFF) << 1 | y[a + (pairs >> 32)], -2 | y[a:b]]
+                size += len(pairs)
+                if size > 1_000_000:
+                    yield total(found)
+                    found, size = [], 0
+        if found:
+            yield total(found)
+
+    counts = texts.join(some, "id").select("y", "text").mapInArrow(run, "slot long, p long, q long").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    counts = materialize(counts.where((F.col("p") + F.col("q") >= least_docs) | (F.col("slot") < 0)), "nbsvm-slots")
+    sizes = counts.where("slot < 0").first()  # slot -1 counts the rows themselves
+    if sizes is None or not sizes["p"] or not sizes["q"]:
+        return np.zeros(0, np.int64)
+    n1, n0 = F.lit(float(sizes["p"])), F.lit(float(sizes["q"]))
+    part = lambda o, e: o * F.log(F.greatest(o, F.lit(1e-12)) / F.greatest(e, F.lit(1e-12)))
+    p, q = F.col("p").cast("double"), F.col("q").cast("double")
+    share = (p + q) / (n1 + n0)
+    g = part(p, n1 * share) + part(q, n0 * share) + part(n1 - p, n1 * (1 - share)) + part(n0 - q, n0 * (1 - share))
+    best = counts.where("slot >= 0").withColumn("g", F.round(g, 6)).where("g > 3").orderBy(F.desc("g"), "slot").limit(most)
+    return np.sort(best.toPandas()["slot"].to_numpy(np.int64))
 
 
 def fit(docs: list[np.ndarray], y: np.ndarray, chosen: np.ndarray, features: Features, bits: int = BITS, cost: float = 0.1, folds: int = 3, fresh: np.ndarray | None = None) -> Model:
@@ -250,9 +276,9 @@ def sample_labelled(labels: DataFrame, label: str, train, rows: int, doc_id: str
     return y.orderBy(F.xxhash64("id"), "id").limit(rows).toPandas()
 
 
-def _features_of(texts: DataFrame, ids: pd.DataFrame, features: Features, slots: np.ndarray | None) -> pd.DataFrame:
-    """(id, f) of the sampled rows: f the distinct features (or indices of the chosen ones)
-    as 32-bit integers. The ids are broadcast; their number is bounded by the sample."""
+def _features_of(texts: DataFrame, ids: pd.DataFrame, features: Features, slots: np.ndarray) -> pd.DataFrame:
+    """(id, f) of the sampled rows: f the numbers of the chosen features it has, as 32-bit
+    integers. The ids are broadcast; their number is bounded by the sample."""
     spark = texts.sparkSession
     chosen = F.broadcast(spark.createDataFrame(ids[["id"]], "id string"))
     shared = spark.sparkContext.broadcast(slots)
@@ -262,11 +288,10 @@ def _features_of(texts: DataFrame, ids: pd.DataFrame, features: Features, slots:
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             lists = []
-            for a, b in steps(offsets):
+            for a, b in steps(offsets, STEP):
                 rows, feats = features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if table is not None:
-                    feats = table[feats]
-                    rows, feats = rows[feats >= 0], feats[feats >= 0]
+                feats = table[feats]
+                rows, feats = rows[feats >= 0], feats[feats >= 0]
                 pairs = np.unique(rows.astype(np.int64) << 32 | feats.astype(np.int64))
                 cut = np.searchsorted(pairs >> 32, np.arange(b - a + 1))
                 low = (pairs & 0xFFFFFFFF).astype(np.int32)
@@ -287,9 +312,7 @@ def train_model(documents: DataFrame, labels: DataFrame, label: str, features: F
         return fit([], ids["y"].to_numpy(np.int64), np.zeros(0, np.int64), features, bits)
     texts = documents.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
     few = ids.groupby("y").head(choose_rows)
-    got = _features_of(texts, few, features, None).merge(few, on="id")
-    chosen = _choose([np.frombuffer(x, np.int32) for x in got["f"]], got["y"].to_numpy(np.int64), bits, most, least_docs)
-    del got
+    chosen = _choose(texts, few, features, most, least_docs)
     slots = np.full(1 << bits, -1, np.int16)
     slots[chosen] = np.arange(len(chosen), dtype=np.int16)
     got = _features_of(texts, ids, features, slots).merge(ids, on="id")
