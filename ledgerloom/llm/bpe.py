@@ -1,34 +1,102 @@
-"""Token ids of whole texts with a public tokenizer file, by way of a cache of text pieces.
+"""Token ids of whole texts with a public tokenizer file, by way of a table of text pieces.
 
-A text is cut at white space where the tokenizer's own pre-tokenisation cuts as well, so the
-ids of the pieces, one after the other, are the ids of the text. Pieces seen before come
-from a bounded cache; new ones go through the tokenizers library.
+A text is cut where the tokenizer's own pre-tokenisation cuts as well, so the ids of the
+pieces, one after the other, are the ids of the text. Cutting, look-up and joining are array
+operations over the UTF-8 bytes of many texts; pieces met for the first time go through the
+tokenizers library. Pieces are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import filterfalse
 
 import numpy as np
 
-#: Pieces of a generation; one Python worker remembers two (about 250 MB): those met since
-#: the last change of generations and those of the one before.
-CACHE_PIECES = 600_000
-
-_SPACE = r"\x20\x09-\x0D"
-_LETTER = r"A-Za-zÀ-ÖØ-öø-ÿ"
-#: Texts of ASCII and Latin letters without an apostrophe: there words and marks are cut apart.
-_NOT_PLAIN = re.compile(rf"[^\x00-\x1b\x20-\x26\x28-\x7e{_LETTER}]")
-_WORD = re.compile(rf"[^{_SPACE}]+")
-_WORD_PLAIN = re.compile(rf"[{_LETTER}]+|[^{_SPACE}{_LETTER}]+")
-_GAPS = rf"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-_SPACED = re.compile(rf" ?[^{_SPACE}]+|{_GAPS}")
-_SPACED_PLAIN = re.compile(rf" ?[{_LETTER}]+| ?[^{_SPACE}{_LETTER}]+|{_GAPS}")
-#: White space outside ASCII that a byte-level pattern could join with ASCII white space.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -     　]")
+from .common import _WS, word_hashes
+
+#: Pieces that one Python worker remembers at most (about 60 MB); then it starts anew.
+TABLE_PIECES = 1_200_000
+
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _LETTERS = re.compile(rf"[{_LETTER}]+")
+# kinds of bytes: 0 white space, 1 letters (ASCII, and the two bytes of À to ÿ), 2 others
+_KIND = np.full(256, 2, np.uint8)
+_KIND[_WS] = 0
+_KIND[65:91] = _KIND[97:123] = _KIND[0xC3] = 1
+_KIND[0x80:0xC0] = 1
+#: Bytes that keep their whole run between white space in one piece: the apostrophe, the
+#: separators among the control bytes, and lead bytes of all characters but À to ÿ.
+_SPECIAL = np.zeros(256, bool)
+_SPECIAL[[0x27, 0x1C, 0x1D, 0x1E, 0x1F, 0x7F]] = True
+_SPECIAL[0xC0:] = True
+_SPECIAL[0xC3] = False
+_RARE = np.zeros(256, bool)
+_RARE[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _other_space(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows that hold white space outside ASCII, or a separator among the control bytes."""
+    lead = np.flatnonzero(_RARE[raw])
+    if not len(lead):
+        return lead
+    a, b, c = raw[lead], raw[np.minimum(lead + 1, len(raw) - 1)], raw[np.minimum(lead + 2, len(raw) - 1)]
+    hit = (a < 0x20) | (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & ((b == 0x9A) | (b == 0xA0) & (c == 0x8E))
+    hit |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F)) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    return np.unique(np.searchsorted(offsets, lead[hit], side="right") - 1)
+
+
+class _Table:
+    """Ids of pieces by hash: open addressing in arrays."""
+
+    def __init__(self, bits: int = 21):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.slots = np.zeros(1 << bits, np.int32)
+        self.n = 0
+        self.at = np.zeros(1024, np.int64)
+        self.size = np.zeros(1024, np.int32)
+        self.ids = np.zeros(4096, "<u4")
+        self.used = 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each piece, -1 if it is not there. No piece hashes to 0."""
+        out = np.full(len(h), -1, np.int32)
+        todo, q = np.arange(len(h)), h
+        slot = (h & self.mask).astype(np.int64)
+        while len(todo):
+            k = self.keys[slot]
+            hit = k == q
+            out[todo[hit]] = self.slots[slot[hit]]
+            go = ~hit & (k != 0)
+            todo, q, slot = todo[go], q[go], (slot[go] + 1) & int(self.mask)
+        return out
+
+    def add(self, h: np.ndarray, ids: list[bytes]) -> None:
+        """New pieces (distinct hashes)."""
+        n, m = len(h), self.n
+        size = np.array([len(x) // 4 for x in ids], np.int32)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        while m + n > len(self.at):
+            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.size[m : m + n] = size
+        self.at[m : m + n] = self.used + np.cumsum(size) - size
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.n += n
+        todo, slot = np.arange(n), (h & self.mask).astype(np.int64)
+        while len(todo):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            win = free[first]
+            self.keys[slot[win]], self.slots[slot[win]] = h[todo[win]], m + todo[win]
+            rest = np.ones(len(todo), bool)
+            rest[win] = False
+            todo, slot = todo[rest], (slot[rest] + 1) & int(self.mask)
 
 
 class PieceEncoder:
@@ -58,8 +126,7 @@ class PieceEncoder:
             self.kind = "word"
         else:
             self.kind = "whole"
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.table = _Table()
         # ids that close a word (word kind) or open one (byte kind): where joint words part
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.edge = np.zeros(max(vocab.values(), default=0) + 1, bool)
@@ -83,55 +150,125 @@ class PieceEncoder:
         data, cut = ids.tobytes(), cut.tolist()
         return [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
-    def _learn(self, new: set[str]) -> None:
-        cache, older = self.cache, self.older
-        back = [x for x in new if x in older]  # not intersection(), which would walk the dict
-        cache.update(zip(back, map(older.__getitem__, back), strict=True))
-        new.difference_update(back)
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        skip = 1 if self.kind == "byte" else 0
+        simple = [i for i, x in enumerate(pieces) if (not skip or x[0] == " ") and _LETTERS.fullmatch(x, skip)]
+        out: list[bytes] = [b""] * len(pieces)
+        plain = np.zeros(len(pieces), bool)
+        plain[simple] = True
+        for which, how in ((simple, self._joint), (np.flatnonzero(~plain).tolist(), self._direct)):
+            for k in range(0, len(which), 2048):
+                some = which[k : k + 2048]
+                for i, x in zip(some, how([pieces[i] for i in some]), strict=True):
+                    out[i] = x
+        return out
+
+    def cut(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, starts, ends) of the pieces of the rows; white space is dropped (word kind)
+        or kept (byte kind) as the tokenizer does."""
         byte = self.kind == "byte"
-        joint = [x for x in new if (x[0] == " " and x[1:].isalpha() if byte else x.isalpha()) and _LETTERS.fullmatch(x, 1 if byte else 0)]
-        rest = list(new.difference(joint))
-        for some, how in ((joint, self._joint), (rest, self._direct)):
-            for i in range(0, len(some), 2048):
-                cache.update(zip(some[i : i + 2048], how(some[i : i + 2048]), strict=True))
+        if not byte:  # lower-case ASCII and À to Þ, as the normalizer will
+            raw = _LOWER[raw]
+            after = np.flatnonzero(raw[:-1] == 0xC3) + 1
+            b = raw[after]
+            up = after[(b >= 0x80) & (b <= 0x9E) & (b != 0x97)]
+            raw[up] += 32
+        n = len(raw)
+        kind = _KIND[raw]
+        odd = _SPECIAL[raw]
+        lead = np.flatnonzero(raw[:-1] == 0xC3)
+        odd[lead[(raw[lead + 1] == 0x97) | (raw[lead + 1] == 0xB7)]] = True  # × and ÷
+        space = kind == 0
+        first = np.zeros(n, bool)
+        first[offsets[:-1][np.diff(offsets) > 0]] = True
+        new = np.empty(n, bool)  # a run of white space or of other bytes begins
+        new[0] = True
+        new[1:] = space[1:] != space[:-1]
+        new |= first
+        begin = np.empty(n, bool)
+        begin[0] = True
+        begin[1:] = kind[1:] != kind[:-1]
+        begin |= first
+        if odd.any():  # no cut inside a run with a special byte
+            runs = np.flatnonzero(new)
+            bad = np.add.reduceat(odd, runs, dtype=np.int32) > 0
+            begin &= new | ~np.repeat(bad, np.diff(np.append(runs, n)))
+        if byte:
+            # the last white space before other bytes stands alone, or, if a space, with them
+            last = np.zeros(n, bool)
+            last[:-1] = space[:-1] & ~space[1:] & ~first[1:]
+            begin |= last
+            join = np.flatnonzero(last & (raw == 32)) + 1
+            begin[join] = False
+        starts = np.flatnonzero(begin)
+        ends = np.append(starts[1:], n)
+        if not byte:
+            words = ~space[starts]
+            starts, ends = starts[words], ends[words]
+        return raw, starts, ends
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode_utf8(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows one after the other, and the n + 1 offsets of the rows."""
+        n = len(offsets) - 1
         if self.kind == "whole":
-            return [np.frombuffer(x, "<u4") for x in self._direct([t or "" for t in texts])]
-        out: list[np.ndarray] = []
-        word = self.kind == "word"
-        plain, other = (_WORD_PLAIN.findall, _WORD.findall) if word else (_SPACED_PLAIN.findall, _SPACED.findall)
-        for first in range(0, len(texts), 64):
-            some = [t or "" for t in texts[first : first + 64]]
-            pieces: list[list[str] | None] = []
-            new: set[str] = set()
-            known = self.cache.__contains__
-            for t in some:
-                if not _NOT_PLAIN.search(t):
-                    p = plain(t.lower() if word else t)
-                elif word or not _OTHER_SPACE.search(t):
-                    p = other(t)
-                else:
-                    p = None
-                pieces.append(p)
-                if p:
-                    new.update(filterfalse(known, p))
-            if len(self.cache) + len(new) > CACHE_PIECES and self.cache:
-                self.older, self.cache = self.cache, {}
-                new = set().union(*(p for p in pieces if p))
-            if new:
-                self._learn(new)
-            get = self.cache.__getitem__
-            for t, p in zip(some, pieces, strict=True):
-                out.append(np.frombuffer(self._direct([t])[0] if p is None else b"".join(map(get, p)), "<u4"))
-        return out
+            got = self._direct([raw[a:b].tobytes().decode() for a, b in zip(offsets, offsets[1:], strict=False)])
+            return np.frombuffer(b"".join(got), "<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in got], dtype=np.int64)])
+        if not len(raw):
+            return np.zeros(0, "<u4"), np.zeros(n + 1, np.int64)
+        if self.kind == "byte":
+            whole = _other_space(raw, offsets)
+            if len(whole):
+                return self._mixed(raw, offsets, whole)
+        raw, starts, ends = self.cut(raw, offsets)
+        h = word_hashes(raw, starts, ends, lower=False) | np.uint64(1)
+        at = self.table.find(h)
+        if (at < 0).any():
+            self._learn(raw, starts, ends, h, at)
+            at = self.table.find(h)
+            if (at < 0).any():  # the table started anew
+                self._learn(raw, starts, ends, h, at)
+                at = self.table.find(h)
+        t = self.table
+        size = t.size[at].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(size)])
+        where = np.arange(total[-1]) + np.repeat(t.at[at] - total[:-1], size)
+        return t.ids[where], total[np.searchsorted(starts, offsets)]
+
+    def _mixed(self, raw, offsets, whole):
+        """Rows with white space outside ASCII are encoded whole, those between by pieces."""
+        parts, sizes, at = [], [], 0
+        for i in [*whole.tolist(), len(offsets) - 1]:
+            ids, rows = self.encode_utf8(raw[offsets[at] : offsets[i]], offsets[at : i + 1] - offsets[at])
+            parts.append(ids)
+            sizes.append(np.diff(rows))
+            if i < len(offsets) - 1:
+                ids = np.frombuffer(self._direct([raw[offsets[i] : offsets[i + 1]].tobytes().decode()])[0], "<u4")
+                parts.append(ids)
+                sizes.append(np.array([len(ids)]))
+            at = i + 1
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+
+    def _learn(self, raw, starts, ends, h, at) -> None:
+        missing = np.flatnonzero(at < 0)
+        new, first = np.unique(h[missing], return_index=True)
+        i = missing[first]
+        if self.table.n + len(new) > TABLE_PIECES and self.table.n:
+            self.table = _Table()
+        data = raw.tobytes()
+        self.table.add(new, self._ids_of([data[a:b].decode() for a, b in zip(starts[i].tolist(), ends[i].tolist(), strict=True)]))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        data = [(t or "").encode() for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in data], dtype=np.int64)]).astype(np.int64)
+        ids, rows = self.encode_utf8(np.frombuffer(b"".join(data), np.uint8), offsets)
+        return [ids[a:b] for a, b in zip(rows, rows[1:], strict=False)]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
-    """This worker's encoder of the file; its cache outlives a task."""
+    """This worker's encoder of the file; its table outlives a task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe import encoder
-from .common import materialize
+from .common import materialize, steps, utf8
 
 WINDOW = 2048
 
@@ -80,17 +80,19 @@ def tokenised_pieces(documents: DataFrame, path: str, end_id: int = 1, window: i
         from pyspark import TaskContext
 
         part, seen, enc = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64), encoder(path)
+        end = np.array([end_id], "<u4")
         for batch in batches:
-            n = batch.num_rows
-            for a in range(0, n, 256):
-                b = min(n, a + 256)
+            raw, offsets = utf8(batch.column(1))
+            for a, b in steps(offsets, 1 << 19):
+                ids_, rows = enc.encode_utf8(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 cols: list[list] = [[], [], [], [], [], [], []]
-                for i, ids in enumerate(enc.encode(batch.column(1).slice(a, b - a).to_pylist())):
-                    ids = np.concatenate([ids, np.array([end_id], "<u4")])
+                for i in range(b - a):
+                    ids = np.append(ids_[rows[i] : rows[i + 1]], end)
                     for start in range(0, len(ids), window):
                         piece = ids[start : start + window]
                         k = len(piece)
-                        for c, v in zip(cols, (a + i, start, k, zlib.crc32(piece.tobytes()), len(ids), int(seen[k]), piece.tobytes()), strict=True):
+                        data = piece.tobytes()
+                        for c, v in zip(cols, (a + i, start, k, zlib.crc32(data), len(ids), int(seen[k]), data if with_ids else b""), strict=True):
                             c.append(v)
                         seen[k] += 1
                 got = [batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:6]), pa.array([part] * len(cols[0]), pa.int64())]

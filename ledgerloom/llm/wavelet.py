@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe import encoder
-from .common import materialize, work_path
+from .common import materialize, steps, utf8, work_path
 
 MAGIC = b"LLWM0001"
 _BLOCK = 512
@@ -168,6 +168,7 @@ def write_tokens(documents: DataFrame, folder: str, path: str, end_id: int = 2,
         store.create_dir(base, recursive=True)
         part, enc, number = ctx.partitionId(), encoder(path), 0
         held: list[np.ndarray] = []
+        end = np.array([end_id], "<u4")
         ids: list[str | None] = []
         size = 0
 
@@ -182,10 +183,13 @@ def write_tokens(documents: DataFrame, folder: str, path: str, end_id: int = 2,
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())], ["part", "file", "name", "docs", "tokens"])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                some = batch.slice(a, 64)
-                for key, x in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
-                    held.append(np.concatenate([x, np.array([end_id], "<u4")]))
+            raw, offsets = utf8(batch.column(1))
+            keys = batch.column(0).to_pylist()
+            for a, b in steps(offsets, 1 << 19):
+                got, rows = enc.encode_utf8(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for i in range(b - a):
+                    key, x = keys[a + i], got[rows[i] : rows[i + 1]]
+                    held.append(np.append(x, end))
                     ids.append(None if key is None else str(key))
                     size += len(x) + 1
                     if size >= shard_tokens:
