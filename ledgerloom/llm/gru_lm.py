@@ -8,8 +8,8 @@ small and fixed in size while the counts, and with them every word's probability
 all training documents.
 
 Training is truncated back-propagation: lanes of documents are cut into windows, gradients
-stay inside a window, the state goes on into the next. Parts of the sample are trained apart
-and their parameters averaged, for a few rounds. Scoring carries the state across windows
+stay inside a window, the state goes on into the next. Every training document is in one of
+the parts that are trained apart and whose parameters are averaged, for a few rounds. Scoring carries the state across windows
 from a document's first word to its end.
 """
 
@@ -27,11 +27,9 @@ CLASSES = 20
 HIDDEN = 24
 #: Words whose counts are broadcast for direct look-up (16 bytes each); others are joined.
 NEAR = 200_000
-#: One training document in SAMPLE_ONE_IN trains the network, more where that is under LEAST_DOCS.
-SAMPLE_ONE_IN = 100
-LEAST_DOCS = 400
+#: Passes over all training documents.
 ROUNDS = 4
-#: Tokens of the sample for each part that is trained apart.
+#: Tokens of each part that is trained apart.
 PART_TOKENS = 400_000
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 LN10 = np.log(10.0)
@@ -225,6 +223,14 @@ def log_probs(m: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray, grad: d
     return out, dh
 
 
+def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """to[at] += rows, where at may hold a number often."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    to[at[first]] += np.add.reduceat(rows[order], first)
+
+
 def train(m: dict, v: Vocabulary, ids: np.ndarray, rows: np.ndarray, rate: float, width: int = 48, window: int = 24) -> dict:
     """One pass of truncated back-propagation with Adam steps; returns the new parameters."""
     m = {k: x.copy() for k, x in m.items()}
@@ -245,18 +251,19 @@ def train(m: dict, v: Vocabulary, ids: np.ndarray, rows: np.ndarray, rate: float
         dh_all = np.zeros_like(out)
         dh_all[valid] = d
         dh = np.zeros_like(h)
+        da, dg = np.empty((2, *x.shape, 3 * HIDDEN), np.float32)
         for s in range(len(y) - 1, -1, -1):
             p, z, r, n, gn = saved[s]
             dh = dh + dh_all[s]
             dn = dh * (1 - z) * (1 - n * n)
             dz = dh * (p - n) * z * (1 - z)
             dr = dn * gn * r * (1 - r)
-            da = np.concatenate([dz, dr, dn], axis=1)
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(grad["wx"], x[s], da)
-            grad["b"] += da.sum(axis=0)
-            grad["u"] += p.T @ dg
-            dh = (dh * z + dg @ m["u"].T) * (x[s] != start)[:, None]
+            np.concatenate([dz, dr, dn], axis=1, out=da[s])
+            np.concatenate([dz, dr, dn * r], axis=1, out=dg[s])
+            dh = (dh * z + dg[s] @ m["u"].T) * (x[s] != start)[:, None]
+        _add_rows(grad["wx"], x.ravel(), da.reshape(-1, 3 * HIDDEN))
+        grad["b"] += da.sum(axis=(0, 1))
+        grad["u"] += np.concatenate([p for p, *_ in saved]).T @ dg.reshape(-1, 3 * HIDDEN)
         step += 1
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         scale = min(1.0, 1.0 / max(norm, 1e-9))
@@ -301,7 +308,7 @@ def _unpack(flat: np.ndarray, like: dict) -> dict:
 
 
 def fit(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
-    """Train on the texts (the sample): parts of about PART_TOKENS tokens run apart, and the
+    """Train on all texts: parts of about PART_TOKENS tokens run apart, and the
     token-weighted mean of their parameters starts the next round."""
     spark = texts.sparkSession
     m = new_model(v)
@@ -321,10 +328,10 @@ def fit(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
                 n += np.diff(rows).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(n, pa.int64())], ["ids", "n"])
 
-    sample = materialize(texts.select("text").mapInArrow(number, "ids binary, n long"), "lm-sample")
-    total = sample.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    whole = materialize(texts.select("text").mapInArrow(number, "ids binary, n long"), "lm-ids")
+    total = whole.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(1, round(total / PART_TOKENS))
-    dealt = sample.repartition(parts, F.xxhash64("ids"))
+    dealt = whole.repartition(parts, F.xxhash64("ids"))
     for k in range(rounds):
         shared, rate = spark.sparkContext.broadcast(m), 0.02 * 0.5**k
 
@@ -370,10 +377,7 @@ def score_documents(documents: DataFrame, fold_of: tuple[int, int] = (5, 1), doc
     near = near.sort_values(["c", "h"], ascending=[False, True])
     near_h = near["h"].to_numpy(np.int64).view(np.uint64)
     v = Vocabulary(near_h, near["c"].to_numpy(), near_h[:head], int(total), int(distinct))
-    ends = int(v.c[v.find(np.array([END]))[0]]) if len(v.h) and v.find(np.array([END]))[0] < len(v.h) else 0
-    one_in = max(1, min(SAMPLE_ONE_IN, ends // LEAST_DOCS))
-    crc = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0))
-    model = fit(train_rows.where(F.expr("true") if one_in == 1 else F.floor(crc / parts) % one_in == 0), v)
+    model = fit(train_rows, v)
     shared = spark.sparkContext.broadcast((v, model))
 
     def run(batches):

@@ -129,3 +129,11 @@ def test_gradients():
     for _ in range(30):
         m = gru_lm.train(m, v, ids, rows, 0.02)
     assert loss(m) < before - 1
+
+
+def test_trains_on_every_training_document(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(gru_lm, "fit", lambda texts, v: seen.append(texts.count()) or gru_lm.new_model(v))
+    df = spark.range(1200).selectExpr("id as doc_id", "concat('word w', id) as text")
+    gru_lm.score_documents(df)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(1200))]
