@@ -240,11 +240,9 @@ def train(m: dict, v: Vocabulary, ids: np.ndarray, rows: np.ndarray, rate: float
     target, before, _ = lay_out(ids, rows, lanes(np.diff(rows), width), start)
     h, step = np.zeros((target.shape[1], HIDDEN), np.float32), 0
     for t in range(0, len(target), window):
-        y, x = target[t : t + window], before[t : t + window]
-        live = int((y >= 0).any(axis=0).sum())
-        if live < max(1, target.shape[1] // 8):
-            break  # a few lanes' tails
-        out, h, saved = _states(m, x, h, start, keep=True)
+        live = int((target[t] >= 0).sum())  # lanes are in order of their length
+        y, x = target[t : t + window, :live], before[t : t + window, :live]
+        out, h, saved = _states(m, x, h[:live], start, keep=True)
         valid = y >= 0
         grad = {k: np.zeros_like(p) for k, p in m.items()}
         _, d = log_probs(m, v, out[valid], y[valid], grad)

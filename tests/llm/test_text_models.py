@@ -137,3 +137,15 @@ def test_trains_on_every_training_document(spark, monkeypatch):
     df = spark.range(1200).selectExpr("id as doc_id", "concat('word w', id) as text")
     gru_lm.score_documents(df)
     assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(1200))]
+
+
+def test_trains_to_the_end_of_the_longest_document(monkeypatch):
+    h = np.arange(1, 12, dtype=np.uint64)
+    v = gru_lm.Vocabulary(h, np.arange(12, 1, -1), h[:8], 100, 11)
+    lengths = np.array([700] + [9] * 60)
+    rows = np.concatenate([[0], np.cumsum(lengths)])
+    ids = np.random.default_rng(0).integers(0, 9, rows[-1]).astype(np.int16)
+    used, log_probs = [], gru_lm.log_probs
+    monkeypatch.setattr(gru_lm, "log_probs", lambda m, v, h, target, grad=None: used.append(target) or log_probs(m, v, h, target, grad))
+    gru_lm.train(gru_lm.new_model(v), v, ids, rows, 0.02)
+    assert Counter(np.concatenate(used).tolist()) == Counter(ids.tolist())
