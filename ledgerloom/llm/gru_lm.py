@@ -1,11 +1,11 @@
 """LM scoring with a gated recurrent language model in numpy.
 
-Words are numbered by how often the training documents hold them. The HEAD most frequent
-ones (the end of a document among them) are the network's vocabulary; its output softmax is
-factored into classes of nearly equal mass and words within a class, and one more class
-stands for all other words, which divide its probability by their counts. So the network is
-small and fixed in size while the counts, and with them every word's probability, come from
-all training documents.
+Words are numbered by how often the training documents hold them. The most frequent ones
+(the end of a document among them), HEAD_ROOT times the root of the number of distinct words,
+have an input and an output of their own in the network; its output softmax is factored into
+classes of nearly equal mass and words within a class. The other words fall into BANDS of
+like counts, the last one of all words that are not near; a band is one input and one more
+class, and its words divide its probability by their counts.
 
 Training is truncated back-propagation: lanes of documents are cut into windows, gradients
 stay inside a window, the state goes on into the next. Every training document is in one of
@@ -22,8 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import fold, in_fold, materialize, steps, utf8, word_hashes, word_spans
 
-HEAD = 512
-CLASSES = 20
+#: Head words: HEAD_ROOT times the square root of the number of distinct words.
+HEAD_ROOT = 4
+#: Bands of other words, by count.
+BANDS = 4
+#: A near word with a count up to this is in the last band, with words never seen: what is
+#: rare in training texts stands for what is new in others.
+RARE = 8
 HIDDEN = 24
 #: Words whose counts are broadcast for direct look-up (16 bytes each); others are joined.
 NEAR = 200_000
@@ -31,6 +36,8 @@ NEAR = 200_000
 ROUNDS = 4
 #: Tokens of each part that is trained apart.
 PART_TOKENS = 400_000
+#: Parameters in one row of a task's result.
+PIECE = 1 << 15
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 LN10 = np.log(10.0)
 
@@ -72,23 +79,44 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The head words, their classes, and the near words' counts."""
+    """The head words, their classes, the bands of other words, and the near words' counts.
 
-    def __init__(self, near_h: np.ndarray, near_c: np.ndarray, head: np.ndarray, total: int, distinct: int):
+    Numbers: head words from 0, bands from k (the last one holds what is not near), then the
+    start of a document."""
+
+    def __init__(self, near_h: np.ndarray, near_c: np.ndarray, head: np.ndarray, total: int, distinct: int, bands: int = 1):
         order = np.argsort(near_h)
         self.h, self.c = near_h[order], near_c[order].astype(np.int64)
         at = np.searchsorted(self.h, head)
         self.k = len(head)
-        self.number = np.full(len(self.h) + 1, self.k, np.int16)  # head number of a near word, or k: other
+        self.bands = bands
+        self.start = self.k + bands
+        self.number = np.full(len(self.h) + 1, self.start - 1, np.int32)  # of each near word, and of all others
+        if bands > 1 and len(self.h):  # equal in the logarithm of the count; the rarest with those not near
+            rest = np.ones(len(self.h), bool)
+            rest[at] = False
+            lc = np.log(self.c)
+            top = lc[rest].max() if rest.any() else 0.0
+            low = max(np.log(RARE), lc.min())
+            self.number[:-1] = self.k + np.clip((top - lc) / max(top - low, 1e-9) * (bands - 1), 0, bands - 1).astype(np.int32)
         self.number[at] = np.arange(self.k)
         self.head_c = self.c[at]
         self.total, self.distinct = total, distinct
         self.log_c = np.append(np.log10(self.c + 0.5), 0.0)
         # classes in order of frequency, each of nearly the same mass
+        n = self.classes = max(1, round(np.sqrt(self.k)))
         mass = np.cumsum(np.sqrt(self.head_c))
-        self.of = np.minimum((mass - 1e-9) / max(mass[-1], 1e-9) * CLASSES, CLASSES - 1).astype(np.int16) if self.k else np.zeros(0, np.int16)
-        self.first = np.searchsorted(self.of, np.arange(CLASSES + 1))
-        self.other_mass = (total - int(self.head_c.sum())) + 0.5 * (distinct - self.k + 1)
+        self.of = np.minimum((mass - 1e-9) / max(mass[-1], 1e-9) * n, n - 1).astype(np.int32) if self.k else np.zeros(0, np.int32)
+        self.first = np.searchsorted(self.of, np.arange(n + 1))
+        # masses of bands; the last also holds one word never seen
+        b = self.number[:-1] - self.k
+        rest = b >= 0
+        self.mass = np.bincount(b[rest], self.c[rest] + 0.5, bands).astype(float)
+        self.mass[-1] = (total - int(self.head_c.sum())) + 0.5 * (distinct - self.k + 1) - self.mass[:-1].sum()
+        self.other_mass = float(self.mass[-1])
+        #: log10 of a near word's share of its band, 0 for head words and what is not near
+        self.log_share = np.zeros(len(self.h) + 1)
+        self.log_share[:-1][rest] = self.log_c[:-1][rest] - np.log10(self.mass[b[rest]])
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of each token among the near words, len(near) if it is none."""
@@ -106,17 +134,17 @@ def new_model(v: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
     rng, k = np.random.default_rng(seed), v.k
     f = np.float32
     m = {
-        "wx": rng.normal(0, 0.1, (k + 2, 3 * HIDDEN)).astype(f),  # inputs: head words, other, start
+        "wx": rng.normal(0, 0.1, (v.start + 1, 3 * HIDDEN)).astype(f),  # inputs: head words, bands, start
         "u": (rng.normal(0, 1, (HIDDEN, 3 * HIDDEN)) / np.sqrt(HIDDEN)).astype(f),
         "b": np.zeros(3 * HIDDEN, f),
-        "wc": np.zeros((HIDDEN, CLASSES + 1), f),
-        "bc": np.zeros(CLASSES + 1, f),
+        "wc": np.zeros((HIDDEN, v.classes + v.bands), f),
+        "bc": np.zeros(v.classes + v.bands, f),
         "ww": rng.normal(0, 0.01, (k, HIDDEN)).astype(f),
         "bw": np.log(v.head_c + 0.5).astype(f),
     }
-    mass = np.bincount(v.of, v.head_c, CLASSES) if k else np.zeros(CLASSES)
-    m["bc"][:CLASSES] = np.log(mass + 0.5)
-    m["bc"][CLASSES] = np.log(max(v.other_mass, 0.5))
+    mass = np.bincount(v.of, v.head_c, v.classes) if k else np.zeros(v.classes)
+    m["bc"][: v.classes] = np.log(mass + 0.5)
+    m["bc"][v.classes :] = np.log(np.maximum(v.mass, 0.5))
     m["bc"] -= m["bc"].max()
     return m
 
@@ -140,8 +168,8 @@ def lay_out(ids: np.ndarray, rows: np.ndarray, plan: list[list[int]], start: int
     each cell's document."""
     lengths = np.diff(rows)
     t = max((int(lengths[x].sum()) for x in plan), default=0)
-    target = np.full((t, len(plan)), -1, np.int16)
-    before = np.full((t, len(plan)), start, np.int16)
+    target = np.full((t, len(plan)), -1, np.int32)
+    before = np.full((t, len(plan)), start, np.int32)
     doc = np.zeros((t, len(plan)), np.int32)
     for lane, docs in enumerate(plan):
         at = 0
@@ -189,7 +217,7 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 def log_probs(m: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray, grad: dict | None = None):
     """Natural log probability of each target given its state; with grad, adds the output
     layers' gradients of the mean negative log-likelihood and returns that of the states."""
-    of = np.append(v.of, np.int16(CLASSES))[target]
+    of = np.append(v.of, v.classes + np.arange(v.bands, dtype=np.int32))[target]
     lc = _log_softmax(h @ m["wc"] + m["bc"])
     rows = np.arange(len(h))
     out = lc[rows, of]
@@ -202,8 +230,8 @@ def log_probs(m: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray, grad: d
         grad["bc"] += e.sum(axis=0)
         dh = e @ m["wc"].T
     order = np.argsort(of, kind="stable")
-    cut = np.searchsorted(of[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
+    cut = np.searchsorted(of[order], np.arange(v.classes + 1))
+    for c in range(v.classes):
         a, b = v.first[c], v.first[c + 1]
         i = order[cut[c] : cut[c + 1]]
         if not len(i) or b - a < 1:
@@ -223,20 +251,21 @@ def log_probs(m: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray, grad: d
     return out, dh
 
 
-def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """to[at] += rows, where at may hold a number often."""
+def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers in at, and the sum of each one's rows."""
     order = np.argsort(at, kind="stable")
     at = at[order]
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    to[at[first]] += np.add.reduceat(rows[order], first)
+    return at[first], np.add.reduceat(rows[order], first)
 
 
 def train(m: dict, v: Vocabulary, ids: np.ndarray, rows: np.ndarray, rate: float, width: int = 48, window: int = 24) -> dict:
-    """One pass of truncated back-propagation with Adam steps; returns the new parameters."""
+    """One pass of truncated back-propagation with Adam steps, of a window's own inputs only
+    where the inputs' weights are concerned; returns the new parameters."""
     m = {k: x.copy() for k, x in m.items()}
     one = {k: np.zeros_like(x) for k, x in m.items()}
     two = {k: np.zeros_like(x) for k, x in m.items()}
-    start = v.k + 1
+    start = v.start
     target, before, _ = lay_out(ids, rows, lanes(np.diff(rows), width), start)
     h, step = np.zeros((target.shape[1], HIDDEN), np.float32), 0
     for t in range(0, len(target), window):
@@ -244,7 +273,7 @@ def train(m: dict, v: Vocabulary, ids: np.ndarray, rows: np.ndarray, rate: float
         y, x = target[t : t + window, :live], before[t : t + window, :live]
         out, h, saved = _states(m, x, h[:live], start, keep=True)
         valid = y >= 0
-        grad = {k: np.zeros_like(p) for k, p in m.items()}
+        grad = {k: np.zeros_like(p) for k, p in m.items() if k != "wx"}
         _, d = log_probs(m, v, out[valid], y[valid], grad)
         dh_all = np.zeros_like(out)
         dh_all[valid] = d
@@ -259,7 +288,7 @@ def train(m: dict, v: Vocabulary, ids: np.ndarray, rows: np.ndarray, rate: float
             np.concatenate([dz, dr, dn], axis=1, out=da[s])
             np.concatenate([dz, dr, dn * r], axis=1, out=dg[s])
             dh = (dh * z + dg[s] @ m["u"].T) * (x[s] != start)[:, None]
-        _add_rows(grad["wx"], x.ravel(), da.reshape(-1, 3 * HIDDEN))
+        used, grad["wx"] = _sum_rows(x.ravel(), da.reshape(-1, 3 * HIDDEN))
         grad["b"] += da.sum(axis=(0, 1))
         grad["u"] += np.concatenate([p for p, *_ in saved]).T @ dg.reshape(-1, 3 * HIDDEN)
         step += 1
@@ -267,19 +296,23 @@ def train(m: dict, v: Vocabulary, ids: np.ndarray, rows: np.ndarray, rate: float
         scale = min(1.0, 1.0 / max(norm, 1e-9))
         for k, g in grad.items():
             g *= scale
-            one[k] += 0.1 * (g - one[k])
-            two[k] += 0.01 * (g * g - two[k])
-            m[k] -= rate * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.99**step)) + 1e-7)
+            at = used if k == "wx" else slice(None)
+            a, b = one[k][at], two[k][at]
+            a += 0.1 * (g - a)
+            b += 0.01 * (g * g - b)
+            m[k][at] -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)
+            if k == "wx":
+                one[k][at], two[k][at] = a, b
     return m
 
 
 def score_ids(m: dict, v: Vocabulary, ids: np.ndarray, rows: np.ndarray, width: int = 256, window: int = 32) -> np.ndarray:
-    """log10 probability of each document's head-or-other sequence."""
+    """log10 probability of each document's sequence of head words and bands."""
     n = len(rows) - 1
     out = np.zeros(n)
     if not n or not v.k:
         return out
-    start = v.k + 1
+    start = v.start
     target, before, doc = lay_out(ids, rows, lanes(np.diff(rows), width), start)
     h = np.zeros((target.shape[1], HIDDEN), np.float32)
     for t in range(0, len(target), window):
@@ -329,27 +362,46 @@ def fit(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
     whole = materialize(texts.select("text").mapInArrow(number, "ids binary, n long"), "lm-ids")
     total = whole.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(1, round(total / PART_TOKENS))
-    dealt = whole.repartition(parts, F.xxhash64("ids"))
+    # a task trains its parts one after another and hands on their sum, in pieces
+    tasks = min(parts, 2 * spark.sparkContext.defaultParallelism)
+    dealt = whole.select("ids", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("part"))
+    dealt = dealt.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part")
     for k in range(rounds):
         shared, rate = spark.sparkContext.broadcast(m), 0.02 * 0.5**k
 
         def run(batches, shared=shared, rate=rate):
-            docs = [np.frombuffer(x, np.int16) for b in batches for x in b.column(0).to_pylist()]
-            if docs:
+            def trained(docs):
                 docs.sort(key=lambda x: (len(x), x.tobytes()))
                 rows = np.concatenate([[0], np.cumsum([len(x) for x in docs])])
-                got = _pack(train(shared.value, vocab.value, np.concatenate(docs), rows, rate))
-                weight = float(rows[-1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(got)), pa.int32()), pa.array(got.astype(np.float64) * weight), pa.array(np.full(len(got), weight))], ["i", "x", "w"])
-
-        mean = dealt.mapInArrow(run, "i int, x double, w double").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).toPandas()
-        if len(mean):
-            m = _unpack(mean.sort_values("i")["x"].to_numpy(), m)
+                return _pack(train(shared.value, vocab.value, np.concatenate(docs), rows, rate)).astype(np.float64) * rows[-1], int(rows[-1])
+
+            total, weight, docs, part = 0.0, 0, [], None
+            for b in batches:
+                for x, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if at != part and docs:
+                        got, n = trained(docs)
+                        total, weight, docs = total + got, weight + n, []
+                    part = at
+                    docs.append(np.frombuffer(x, np.int32))
+            if docs:
+                got, n = trained(docs)
+                total, weight = total + got, weight + n
+                cut = [(total[a : a + PIECE] / weight).astype(np.float32).tobytes() for a in range(0, len(total), PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cut)), pa.int32()), pa.array(cut, pa.binary()), pa.array([float(weight)] * len(cut))], ["i", "x", "w"])
+
+        def mean_of(table):
+            w = table.column("w").to_numpy()
+            x = np.average([np.frombuffer(b, np.float32) for b in table.column("x").to_pylist()], axis=0, weights=w)
+            return pa.table({"i": table.column("i")[:1], "x": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
+
+        mean = dealt.mapInArrow(run, "i int, x binary, w double").groupBy("i").applyInArrow(mean_of, "i int, x binary").collect()
+        if mean:
+            m = _unpack(np.concatenate([np.frombuffer(r["x"], np.float32) for r in sorted(mean, key=lambda r: r["i"])]), m)
         shared.unpersist()
     return m
 
 
-def score_documents(documents: DataFrame, fold_of: tuple[int, int] = (5, 1), doc_id: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
+def score_documents(documents: DataFrame, fold_of: tuple[int, int] = (5, 1), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Null texts are empty: one token, the end. A null doc_id is not held out, so its row
@@ -374,7 +426,7 @@ def score_documents(documents: DataFrame, fold_of: tuple[int, int] = (5, 1), doc
     near = counts.where(level >= least).toPandas() if least is not None else counts.orderBy(F.desc("c"), "h").limit(NEAR).toPandas()
     near = near.sort_values(["c", "h"], ascending=[False, True])
     near_h = near["h"].to_numpy(np.int64).view(np.uint64)
-    v = Vocabulary(near_h, near["c"].to_numpy(), near_h[:head], int(total), int(distinct))
+    v = Vocabulary(near_h, near["c"].to_numpy(), near_h[: round(HEAD_ROOT * np.sqrt(distinct))], int(total), int(distinct), BANDS)
     model = fit(train_rows, v)
     shared = spark.sparkContext.broadcast((v, model))
 
@@ -395,8 +447,7 @@ def score_documents(documents: DataFrame, fold_of: tuple[int, int] = (5, 1), doc
                 far = at == len(w.h)
                 known.append(np.bincount(row[~far], minlength=b - a))
                 logs.append(np.bincount(row, w.log_c[at], b - a))
-                tail = ids == w.k
-                tails.append((np.bincount(row[tail], w.log_c[at[tail]], b - a), np.bincount(row[tail], minlength=b - a)))
+                tails.append((np.bincount(row, w.log_share[at], b - a), np.bincount(row[far], minlength=b - a)))
                 rare.append((row[far] + done, h[far]))
                 ids_.append(ids)
                 rows_.append(rows[1:] + rows_[-1][-1])

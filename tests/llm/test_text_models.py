@@ -149,3 +149,20 @@ def test_trains_to_the_end_of_the_longest_document(monkeypatch):
     monkeypatch.setattr(gru_lm, "log_probs", lambda m, v, h, target, grad=None: used.append(target) or log_probs(m, v, h, target, grad))
     gru_lm.train(gru_lm.new_model(v), v, ids, rows, 0.02)
     assert Counter(np.concatenate(used).tolist()) == Counter(ids.tolist())
+
+
+def test_vocabulary_grows_and_bands_add_up(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(gru_lm, "fit", lambda texts, v: got.append(v) or gru_lm.new_model(v))
+    df = spark.range(1000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(0, 99), k -> concat('w', (id * 100 + k) % 40000))) as text")
+    gru_lm.score_documents(df)
+    v = got[0]
+    assert v.k == round(gru_lm.HEAD_ROOT * math.sqrt(v.distinct)) > 512
+    counts = np.concatenate([np.arange(60, 20, -1), np.repeat([20, 9, 8, 3, 1], 12)])
+    h = np.arange(1, len(counts) + 1, dtype=np.uint64)
+    v = gru_lm.Vocabulary(h, counts, h[:15], int(counts.sum()) + 30, len(h) + 6, gru_lm.BANDS)  # six words of thirty tokens are not near
+    assert set(v.number.tolist()) == set(range(v.start))
+    state = np.random.default_rng(0).normal(0, 1, (1, gru_lm.HIDDEN)).astype(np.float32)
+    p = [float(np.exp(gru_lm.log_probs(gru_lm.new_model(v), v, state, v.number[[i]])[0][0])) * 10 ** v.log_share[i] for i in range(len(h))]
+    last = float(np.exp(gru_lm.log_probs(gru_lm.new_model(v), v, state, np.array([v.start - 1]))[0][0]))
+    assert sum(p) + last * (30 + 0.5 * 7) / v.other_mass == pytest.approx(1, abs=1e-4)
