@@ -331,17 +331,21 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85,
     return docs.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of documents whose id is the smallest of their component, one row an id, with
-    all their columns. Rows without an id go by a hash of their text instead, below every
-    real id only by chance; one row of each such text is considered."""
+def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", one_an_id: bool = True) -> DataFrame:
+    """The rows of documents whose id is the smallest of their component, with all their
+    columns; one row an id, or without one_an_id one row of each component, so that texts of
+    an id that do not link all stay. Rows without an id go by a hash of their text instead,
+    below every real id only by chance; one row of each such text is considered."""
     names = documents.columns
-    key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
-    keyed = documents.withColumn("__key", key)
+    value = F.coalesce(F.col(text), F.lit(""))
+    key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.sha2(value, 256)))
     numeric = documents.schema[doc_id].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     if numeric:  # compare ids as numbers: pad them, and keep texts behind them
         wide = F.lpad((F.col(doc_id).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
-        keyed = documents.withColumn("__key", F.coalesce(wide, key))
+        key = F.coalesce(wide, key)
+    if not one_an_id:  # a row is its id and text; the separator is below every character
+        key = F.concat(key, F.lit("\0"), F.lpad(F.hex(F.xxhash64(value)), 16, "0"))
+    keyed = documents.withColumn("__key", key)
     best = jaccard_components(keyed.select("__key", text), words, percent, "__key", text)
     firsts = best.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__key")).distinct()
     one = W.partitionBy("__key").orderBy(F.xxhash64(text))

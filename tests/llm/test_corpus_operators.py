@@ -182,6 +182,17 @@ def test_jaccard_join(spark, docs, none, words, percent, monkeypatch):
     assert tgm_join.jaccard_components(none).count() == 0
 
 
+def test_near_copies_keeps_unrelated_texts_of_an_id(spark, docs):
+    from corpus_pipeline import near_copies
+
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    df = spark.createDataFrame([(3, a + " end"), (5, a), (5, b), (5, b), (7, b + " end"), (8, None)], "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in near_copies(spark, df, "").collect())
+    assert got == Counter([(3, a + " end"), (5, b), (8, None)])
+    ids = Counter(r["doc_id"] for r in near_copies(spark, docs, "").collect())
+    assert ids[6] == 2 and ids[5] == ids[3] == 1 and ids[200] == 0
+
+
 def test_token_files(spark, docs, none, tmp_path):
     got = wavelet.token_files(docs, BYTE, folder=f"file://{tmp_path}/w").collect()
     want = Counter((r["doc_id"], zlib.crc32(ids_of(BYTE, r["text"], 2).tobytes())) for r in docs.collect())
