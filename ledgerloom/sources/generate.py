@@ -468,6 +468,11 @@ def generate_ap_subledger(spark: SparkSession, cfg: GeneratorConfig = GeneratorC
     return _ledger(spark, finalize(_ap_entry(rows, cfg), "AP"), cfg, subledger="ap")
 
 
+def _swaps(ref: str) -> list[str]:
+    """The reference with two different neighbouring digits swapped, each way."""
+    return [ref[:k] + ref[k + 1] + ref[k] + ref[k + 2 :] for k in range(len(ref) - 1) if ref[k].isdigit() and ref[k + 1].isdigit() and ref[k] != ref[k + 1]]
+
+
 def generate_ap_with_duplicates(spark: SparkSession, cfg: GeneratorConfig = GeneratorConfig(seed=601, n_entries=900), plan: dict[str, int] | None = None) -> tuple[Ledger, DataFrame]:
     """Copies of stochastic invoices whose (vendor, amount) is unique and that were keyed
     within five business days of their date."""
@@ -478,8 +483,10 @@ def generate_ap_with_duplicates(spark: SparkSession, cfg: GeneratorConfig = Gene
     alone = F.count("*").over(W.partitionBy("vendor", "cents")) == 1
     pool = clean.withColumn("alone", alone).where(F.col("alone") & (F.col("what") == "stochastic") & (F.datediff("posting_date", "doc_date") <= 7))
     originals = pool.orderBy(F.xxhash64(F.lit(cfg.seed), F.lit("ap-copy"), "row")).limit(4 * sum(plan.values()) + 8).collect()
-    vendors = sorted({o["vendor"] for o in originals})
-    issued = {(r["vendor"], r["reference"]) for r in clean.where(F.col("vendor").isin(vendors)).select("vendor", "reference").join(F.broadcast(spark.createDataFrame([(v,) for v in vendors], "vendor string")), "vendor").where(F.length("reference") > 0).collect()} if cfg.n_entries <= 200_000 else set()
+    swaps_of = {(o["vendor"], o["reference"]): _swaps(o["reference"]) for o in originals}
+    swaps = spark.createDataFrame([(v, s) for (v, _), x in swaps_of.items() for s in x], "vendor string, reference string").distinct()
+    issued = clean.select("vendor", "reference").join(F.broadcast(swaps), ["vendor", "reference"], "left_semi").distinct()
+    free = {tuple(r) for r in swaps.join(F.broadcast(issued), ["vendor", "reference"], "left_anti").select("vendor", "reference").collect()}
     held = cal.holidays_between(FY_START, FY_END + timedelta(days=120))
     rows, taken = [], iter(originals)
     for c in AP_CLASSES:
@@ -491,11 +498,11 @@ def generate_ap_with_duplicates(spark: SparkSession, cfg: GeneratorConfig = Gene
                 if c == "ap_cross_period_rekey":
                     add = rng.randrange(28, 47)
                 elif c == "ap_transposed_reference":
-                    swaps = [ref[:k] + ref[k + 1] + ref[k] + ref[k + 2 :] for k in range(len(ref) - 1) if ref[k].isdigit() and ref[k + 1].isdigit() and ref[k] != ref[k + 1]]
-                    swaps = [s for s in swaps if (o["vendor"], s) not in issued]
-                    if not swaps:
+                    unissued = [s for s in swaps_of[o["vendor"], ref] if (o["vendor"], s) in free]
+                    if not unissued:
                         continue
-                    ref = rng.choice(swaps)
+                    ref = rng.choice(unissued)
+                    free.discard((o["vendor"], ref))
                 elif c == "ap_no_reference_match":
                     ref, doc = f"{ref[:1] if not ref[:1].isdigit() else ''}{rng.randrange(700_000, 999_999)}", doc + timedelta(days=rng.randrange(0, 4))
                 rows.append((f"{c}/{i}|{o['row']}", cal.add_business_days(o["posting_date"], add, held), doc, o["vendor"], o["doc_type"], o["cents"], "copy", ref))

@@ -66,6 +66,12 @@ def test_drift_plants_and_payables(spark):
     assert got.where("by_design").count() == 8
 
 
+def test_planted_references_are_not_issued_on_a_large_ledger(spark):
+    ap, _ = gen.generate_ap_with_duplicates(spark, gen.GeneratorConfig(seed=601, n_entries=200_100), {"ap_transposed_reference": 20})
+    twice = ap.entries.groupBy("document.party_id", "document.reference").count().where("count > 1")
+    assert twice.count() == 0
+
+
 def test_workpapers(spark):
     book = ledger(spark, [entry(1, approver="P-01"), entry(2, 1_500_000)])
     rules = registry.default_rules()
