@@ -111,9 +111,12 @@ def card_paper(card: ReportCard, title: str = "Report card") -> Document:
 def drift_paper(report) -> Document:
     if not report.applicable:
         return Document("Composition drift", (Paragraph(f"Not applicable: {report.reason}."),))
+    n = report.findings.count()
     rows = report.findings.orderBy("period", "dimension", "category").limit(200).collect()
     blocks = [KeyValues((("Baseline", ", ".join(report.baseline)), ("Tested periods", str(len(report.tested))), ("Untested", "; ".join(f"{p} ({w})" for p, _, w in report.untested) or "none")))]
     blocks.append(Table(("Period", "Dimension", "Category", "Baseline", "Period k/n", "Shift"), tuple((r["period"], r["dimension"], r["category"], f"{r['base_k']}/{r['base_n']}", f"{r['k']}/{r['n']}", f"{r['shift']:+.4f}") for r in rows)) if rows else Paragraph("No cell moved past the floor with its intervals apart."))
+    if n > len(rows):
+        blocks.append(Paragraph(f"The first {len(rows)} of {n}; all are in drift.json."))
     return Document("Composition drift", tuple(blocks))
 
 

@@ -72,6 +72,15 @@ def test_planted_references_are_not_issued_on_a_large_ledger(spark):
     assert twice.count() == 0
 
 
+def test_drift_paper_counts_what_it_leaves_out(spark):
+    from types import SimpleNamespace
+
+    findings = spark.range(230).selectExpr("'2025-07' as period", "'preparer' as dimension", "concat('P-', id) as category", "1L as base_k", "9L as base_n", "5L as k", "9L as n", "0.4d as shift")
+    report = lambda f: SimpleNamespace(applicable=True, findings=f, baseline=["2025-01"], tested=["2025-07"], untested=[])
+    assert "The first 200 of 230; all are in drift.json." in doc.to_markdown(wp.drift_paper(report(findings)))
+    assert "The first" not in doc.to_markdown(wp.drift_paper(report(findings.limit(200))))
+
+
 def test_workpapers(spark):
     book = ledger(spark, [entry(1, approver="P-01"), entry(2, 1_500_000)])
     rules = registry.default_rules()
