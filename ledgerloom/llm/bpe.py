@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-from .common import _WS, word_hashes
+from .common import _WS, KEPT, word_hashes
 
 #: Pieces that one Python worker remembers at most (about 60 MB); then it starts anew.
 TABLE_PIECES = 1_200_000
@@ -264,14 +264,11 @@ class PieceEncoder:
         return [ids[a:b] for a, b in zip(rows, rows[1:], strict=False)]
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
-    """This worker's encoder of the file; its table outlives a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    """This worker's encoder of the file; its table outlives a task that keeps the path."""
+    if path not in KEPT:
+        KEPT[path] = PieceEncoder(path)
+    return KEPT[path]
 
 
 def public_path(name: str) -> str:

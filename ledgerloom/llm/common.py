@@ -7,10 +7,13 @@ thousand for a billion distinct words.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,11 @@ from pyspark.sql import functions as F
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: UTF-8 bytes of text that one vectorised step handles (longer documents are one step each).
 STEP_BYTES = 1 << 20
+#: Bytes of an Arrow batch that a Python worker gets (a longer row is a batch of its own).
+BATCH_BYTES = 1 << 22
+
+#: What a Python worker keeps from task to task, by name.
+KEPT: dict[str, object] = {}
 
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
@@ -32,12 +40,16 @@ with np.errstate(over="ignore"):
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one
-    of this machine where the session has none (single-machine runs and tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local master
+    (single-machine runs and tests) may go without and gets a temporary folder; on a cluster a
+    missing setting is an error, since no machine's own folder is shared."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         base = "file://" + os.path.join(tempfile.gettempdir(), "ledgerloom-work")
@@ -50,18 +62,61 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: later jobs neither
-    recompute it nor depend on any one executor."""
+    recompute it nor depend on any one executor. `release` removes it."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._work_table = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove work tables that no later job reads."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._work_table)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES go to Python workers, whatever the length of the
+    texts; a setting of the session's own below that stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None) or ""
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
 
+def forget(keep: str = "") -> None:
+    """Drop what earlier tasks of this worker put into KEPT under another name."""
+    for k in [k for k in KEPT if k != keep]:
+        del KEPT[k]
 
-def drop_work(spark: SparkSession, path: str) -> None:
-    """Remove a work table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+def give_back() -> None:
+    """Hand this process's free memory back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run, keep: str = ""):
+    """A function over Arrow batches that gives free memory back when a task ends: workers
+    live on, and what they keep counts against the executor. KEPT loses all but keep."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        forget(keep)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
 
 
 def fold(doc_id: Column | str, parts: int) -> Column:
@@ -88,8 +143,6 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES):
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string column and the n + 1 offsets of its rows; null: empty."""
-    import pyarrow as pa
-
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     if column.null_count:
         column = column.fill_null("")

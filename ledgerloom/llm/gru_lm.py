@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, in_fold, materialize, steps, utf8, word_hashes, word_spans
+from .common import fold, in_fold, materialize, steps, trimmed, utf8, word_hashes, word_spans
 
 #: Head words: HEAD_ROOT times the square root of the number of distinct words.
 HEAD_ROOT = 4
@@ -75,7 +75,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
         if size:
             yield batch_of(held)
 
-    return texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
+    return texts.select("text").mapInArrow(trimmed(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
 
 
 class Vocabulary:
@@ -359,7 +359,7 @@ def fit(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
                 n += np.diff(rows).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(n, pa.int64())], ["ids", "n"])
 
-    whole = materialize(texts.select("text").mapInArrow(number, "ids binary, n long"), "lm-ids")
+    whole = materialize(texts.select("text").mapInArrow(trimmed(number), "ids binary, n long"), "lm-ids")
     total = whole.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(1, round(total / PART_TOKENS))
     # a task trains its parts one after another and hands on their sum, in pieces
@@ -394,7 +394,7 @@ def fit(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
             x = np.average([np.frombuffer(b, np.float32) for b in table.column("x").to_pylist()], axis=0, weights=w)
             return pa.table({"i": table.column("i")[:1], "x": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
 
-        mean = dealt.mapInArrow(run, "i int, x binary, w double").groupBy("i").applyInArrow(mean_of, "i int, x binary").collect()
+        mean = dealt.mapInArrow(trimmed(run), "i int, x binary, w double").groupBy("i").applyInArrow(mean_of, "i int, x binary").collect()
         if mean:
             m = _unpack(np.concatenate([np.frombuffer(r["x"], np.float32) for r in sorted(mean, key=lambda r: r["i"])]), m)
         shared.unpersist()
@@ -473,7 +473,7 @@ def score_documents(documents: DataFrame, fold_of: tuple[int, int] = (5, 1), doc
             rid += n
 
     names = ["rid", "h", "doc_id", "n_tokens", "near", "log_c", "net", "others"]
-    out = materialize(d.mapInArrow(run, f"rid long, h long, doc_id {kind}, n_tokens long, near long, log_c double, net double, others long"), "lm-scores")
+    out = materialize(d.mapInArrow(trimmed(run), f"rid long, h long, doc_id {kind}, n_tokens long, near long, log_c double, net double, others long"), "lm-scores")
     far = out.where("h is not null").select("rid", "h").join(counts, "h", "left")
     far = far.groupBy("rid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("far_log"), F.count("c").alias("far_known"))
     docs = out.where("h is null").drop("h").join(far, "rid", "left").fillna({"far_log": 0.0, "far_known": 0})

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, combine, in_fold, materialize, steps, utf8, word_hashes, word_spans
+from .common import _LOWER, combine, in_fold, materialize, steps, trimmed, utf8, word_hashes, word_spans
 
 #: Labelled rows that a fit takes at most, and those of each class that choose its features.
 SAMPLE_ROWS = 20_000
@@ -214,7 +214,7 @@ def _choose(texts: DataFrame, ids: pd.DataFrame, features: Features, most: int,
         if found:
             yield total(found)
 
-    counts = texts.join(some, "id").select("y", "text").mapInArrow(run, "slot long, p long, q long").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    counts = texts.join(some, "id").select("y", "text").mapInArrow(trimmed(run), "slot long, p long, q long").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     counts = materialize(counts.where((F.col("p") + F.col("q") >= least_docs) | (F.col("slot") < 0)), "nbsvm-slots")
     sizes = counts.where("slot < 0").first()  # slot -1 counts the rows themselves
     if sizes is None or not sizes["p"] or not sizes["q"]:
@@ -298,7 +298,7 @@ def _features_of(texts: DataFrame, ids: pd.DataFrame, features: Features, slots:
                 lists += [low[cut[i] : cut[i + 1]].tobytes() for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.binary())], ["id", "f"])
 
-    got = texts.join(chosen, "id").select("id", "text").mapInArrow(extract, "id string, f binary").toPandas()
+    got = texts.join(chosen, "id").select("id", "text").mapInArrow(trimmed(extract), "id string, f binary").toPandas()
     return got.sort_values(["id", "f"], kind="stable").drop_duplicates("id") if len(got) else got
 
 
@@ -331,4 +331,4 @@ def score_documents(documents: DataFrame, model: Model, doc_id: str = "doc_id",
             raw, offsets = utf8(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.score(raw, offsets), pa.float64())], ["doc_id", "score"])
 
-    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(run), f"doc_id {kind}, score double")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe import encoder
-from .common import materialize, steps, utf8
+from .common import materialize, steps, trimmed, utf8
 
 WINDOW = 2048
 
@@ -103,7 +103,7 @@ def tokenised_pieces(documents: DataFrame, path: str, end_id: int = 1, window: i
                 yield pa.RecordBatch.from_arrays(got, names)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, nth long, part long" + ", ids binary" * with_ids
-    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(run, path), schema)
 
 
 def pack_documents(documents: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

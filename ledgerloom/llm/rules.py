@@ -43,6 +43,10 @@ RULES = (
 )
 
 
+#: Columns that the operator adds.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclamations", "n_letters", "n_ellipsis_lines", "n_bullet_lines", "n_stop_words", "base_failed", "kept")
+
+
 def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
     """One boolean expression of the whole table."""
     out = F.lit(True)
@@ -91,19 +95,25 @@ def quality_rules(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: s
     """Counts, base_failed and kept of every row.
 
     A null text has no words: base_failed. Null ids and repeated rows pass through row by
-    row. Empty table: no rows. Columns of documents other than keep and text are not read.
+    row. Empty table: no rows. Columns of documents other than keep and text are not read;
+    keep may not name a measure.
     """
+    own = {f.lower() for f in MEASURES}
+    if clash := [c for c in keep if c.lower() in own]:
+        raise ValueError(f"kept columns named like measures: {clash}")
     m = measured(documents, text, keep)
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     return m.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compiled(rules))
 
 
 def keep_good(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The rows of documents that the table keeps, with all their columns."""
+    """The rows of documents that the table keeps, with all their columns, whatever their
+    names. A null, empty or short text goes; repeated rows are each judged alike. Empty table:
+    no rows."""
     names = documents.columns
-    judged = quality_rules(documents, rules, text, tuple(names))
+    inner = tuple(f"c{i}" for i in range(len(names)))
+    judged = quality_rules(documents.toDF(*inner), rules, f"c{names.index(text)}", inner)
     # a generator instead of a filter: a filter would be pushed below the projections, and
     # their expressions with it, once for each use
     once = F.explode(F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
-    judged = judged.select(*[F.col(f"`{c}`") for c in names], once.alias("__once"))
-    return judged.select(*[F.col(f"`{c}`") for c in names])
+    return judged.select(*inner, once.alias("once")).select(*inner).toDF(*names)

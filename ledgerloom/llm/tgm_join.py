@@ -15,15 +15,21 @@ from a sample of the documents; it steers the work only, any order gives the sam
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import combine, materialize, mix, steps, utf8, word_hashes, word_spans
+from .common import combine, materialize, mix, release, steps, trimmed, utf8, word_hashes, word_spans
 
 GROUP = 128
+#: Shingles of all members of a group, over which it is cut as well: very long texts.
+GROUP_SHINGLES = 1_000_000
+#: A shingle that so many documents of the sample hold is hot.
+HOT = 64
 #: One document in so many is counted for the order of rarity, and so many shingles ranked.
 SAMPLE_ONE_IN = 16
 RANKED = 1_000_000
@@ -79,11 +85,11 @@ class Rarity:
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.shingles >> np.uint64(42)).astype(np.int64)] = True
 
-    def prefix(self, s: np.ndarray, length: int) -> tuple[np.ndarray, np.uint64]:
-        """The first `length` shingles of a sorted set in the order of rarity, and the shingle
-        that the set's group goes by."""
+    def prefix(self, s: np.ndarray, length: int) -> tuple[np.ndarray, int, np.uint64]:
+        """The first `length` shingles of a sorted set in the order of rarity; how many of them,
+        from the front, are not hot; and the shingle that the set's group goes by."""
         if not len(self.shingles):
-            return s[:length], s[0]
+            return s[:length], min(length, len(s)), s[0]
         maybe = np.flatnonzero(self.maybe[(s >> np.uint64(42)).astype(np.int64)])
         at = np.searchsorted(self.shingles, s[maybe])
         at[at == len(self.shingles)] = 0
@@ -92,9 +98,12 @@ class Rarity:
         rare = np.ones(len(s), bool)
         rare[ranked] = False
         first = s[rare][:length]
-        if len(first) < length:
-            first = np.concatenate([first, s[ranked][np.argsort(counts, kind="stable")][: length - len(first)]])
-        return first, s[ranked[0]] if 2 * len(ranked) >= len(s) else first[0]
+        cold = len(first)
+        if cold < length:
+            common = np.argsort(counts, kind="stable")[: length - cold]
+            cold += int((counts[common] < HOT).sum())
+            first = np.concatenate([first, s[ranked][common]])
+        return first, cold, s[ranked[0]] if 2 * len(ranked) >= len(s) else first[0]
 
 
 def rarity(texts: DataFrame, words: int) -> Rarity:
@@ -114,7 +123,7 @@ def rarity(texts: DataFrame, words: int) -> Rarity:
             v, n = np.unique(np.concatenate(held), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(n.astype(np.int64))], ["s", "n"])
 
-    counted = some.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n >= 2")
+    counted = some.mapInArrow(trimmed(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n >= 2")
     counted = materialize(counted, "tgm-rarity")
     # the count from which at most RANKED shingles are left, from a histogram of counts
     steps_ = counted.groupBy(F.floor(F.log2(F.col("n").cast("double")) * 8).alias("step")).agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect()
@@ -125,8 +134,10 @@ def rarity(texts: DataFrame, words: int) -> Rarity:
             break
         least = r["step"]
     if least is None:
+        release(counted)
         return Rarity(np.zeros(0, np.uint64), np.zeros(0, np.int64))
     got = counted.where(F.floor(F.log2(F.col("n").cast("double")) * 8) >= least).toPandas()
+    release(counted)
     return Rarity(got["s"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy())
 
 
@@ -136,27 +147,33 @@ def common_of(percent: int) -> int:
 
 
 def _documents(texts: DataFrame, order: Rarity, words: int, percent: int, id_type: str) -> DataFrame:
-    """(doc_id, n, cls, tk, prefix, mh) of each row: tk is the hash of its text, mh the shingle
-    that its group goes by."""
+    """(doc_id, n, cls, tk, prefix, hot, mh) of each row: tk is the hash of its id and text,
+    prefix and hot its prefix's shingles that are not hot and that are, mh the shingle that its
+    group goes by."""
     shared, common = texts.sparkSession.sparkContext.broadcast(order), common_of(percent)
+    names = ["doc_id", "n", "cls", "tk", "prefix", "hot", "mh"]
+
+    def lists(parts):
+        sizes = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(parts).view(np.int64)))
 
     def run(batches):
-        rank = shared.value
+        rank, none = shared.value, np.zeros(0, np.uint64)
         for batch in batches:
-            n, cls, pre, by = [], [], [], []
+            n, cls, pre, hot, by = [], [], [], [], []
             for _, _, s in _each([batch], 1, words):
                 k = len(s)
                 n.append(k)
                 cls.append(set_key(s) if k else None)
-                p, g = rank.prefix(s, k - (percent * k + 99) // 100 + common) if k else (s, None)
-                pre.append(p.view(np.int64))
+                p, cold, g = rank.prefix(s, k - (percent * k + 99) // 100 + common) if k else (none, 0, None)
+                pre.append(p[:cold])
+                hot.append(p[cold:])
                 by.append(int(g.view(np.int64)) if k else None)
-            sizes = np.concatenate([[0], np.cumsum([len(p) for p in pre])]).astype(np.int32)
-            flat = np.concatenate(pre) if pre else np.zeros(0, np.int64)
-            prefix = pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), batch.column(2), prefix, pa.array(by, pa.int64())], ["doc_id", "n", "cls", "tk", "prefix", "mh"])
+            if n:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), batch.column(2), lists(pre), lists(hot), pa.array(by, pa.int64())], names)
 
-    return texts.select("doc_id", "text", F.xxhash64("text").alias("tk")).mapInArrow(run, f"doc_id {id_type}, n long, cls long, tk long, prefix array<long>, mh long")
+    schema = f"doc_id {id_type}, n long, cls long, tk long, prefix array<long>, hot array<long>, mh long"
+    return texts.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("tk")).mapInArrow(trimmed(run), schema)
 
 
 class Group:
@@ -185,9 +202,12 @@ class Group:
         return np.flatnonzero((100 + percent) * shared >= percent * (len(s) + self.size))
 
 
-def _forest(pairs, n: int):
-    """Those pairs that join two trees."""
-    root = list(range(n))
+def _links(rows, percent: int):
+    """A spanning forest of the links of one (group, part), as pairs of classes. rows, members
+    before visitors: (kind, first, cls, set); visitors are met one at a time and not kept."""
+    members: dict[int, np.ndarray] = {}
+    root: dict[int, int] = {}
+    group, ids, inside = None, [], False
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -195,52 +215,58 @@ def _forest(pairs, n: int):
             x = root[x]
         return x
 
-    for a, b in pairs:
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            yield a, b
-
+    def joined(a: int, s: np.ndarray):
+        for j in group.links(s, percent).tolist():
+            x, y = find(a), find(ids[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                yield a, ids[j]
 
-def _verify(percent: int):
-    def group(rows):
-        """Links of one (group, part): rows are (kind, first, cls, set)."""
-        members = {c: s for kind, _, c, s in rows if kind == 0}
-        visitors = {c: s for kind, _, c, s in rows if kind == 1}
-        if not members or len(members) + len(visitors) < 2:
-            return
-        inside = any(first for kind, first, _, _ in rows if kind == 0)
+    def opened():
+        nonlocal group, ids
         ids = list(members)
-        g = Group([members[c] for c in ids])
-        names = ids + list(visitors)
+        group = Group(list(members.values()))
+        root.update((c, c) for c in ids)
+        if inside:
+            for c in ids:
+                yield from joined(c, members[c])
+
+    for kind, first, c, s in rows:
+        if kind == 0:
+            members[c] = s.copy()
+            inside |= first
+        elif members:
+            if group is None:
+                yield from opened()
+            root.setdefault(c, c)
+            yield from joined(c, s)
+    if group is None and inside and len(members) > 1:
+        yield from opened()
 
-        def pairs():
-            if inside:
-                for i, c in enumerate(ids):
-                    yield from ((i, int(j)) for j in g.links(members[c], percent) if j != i)
-            for i, s in enumerate(visitors.values()):
-                yield from ((len(ids) + i, int(j)) for j in g.links(s, percent))
 
-        for a, b in _forest(pairs(), len(names)):
-            yield names[a], names[b]
+def _verify(percent: int):
+    def rows_of(batches):
+        for batch in batches:
+            column = batch.column(5)
+            _, off, data = column.buffers()
+            off = np.frombuffer(off, np.int32, len(column) + 1, column.offset * 4)
+            raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+            keys = [batch.column(i).to_pylist() for i in range(5)]
+            for i, (gid, part, kind, first, c) in enumerate(zip(*keys, strict=True)):
+                yield (gid, part), (kind, first, c, raw[off[i] : off[i + 1]].view(np.uint64))
 
     def run(batches):
-        key, rows = None, []
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            a, b = [], []
-            for gid, part, kind, first, c, s in zip(*cols, strict=True):
-                if (gid, part) != key:
-                    for x, y in group(rows):
-                        a.append(x)
-                        b.append(y)
-                    key, rows = (gid, part), []
-                rows.append((kind, first, c, np.frombuffer(s, np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        got = list(group(rows))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
-
-    return run
+        a, b = [], []
+        for _, rows in itertools.groupby(rows_of(batches), key=lambda r: r[0]):
+            for x, y in _links((r for _, r in rows), percent):
+                a.append(x)
+                b.append(y)
+            if len(a) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return trimmed(run)
 
 
 def components(edges: DataFrame, name: str = "tgm-edges") -> DataFrame:
@@ -261,7 +287,8 @@ def components(edges: DataFrame, name: str = "tgm-edges") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         near = large.join(least, "a")
         small = near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialize(small, name)
+        done, edges = edges, materialize(small, name)
+        release(done)
         now = state(edges)
         if now == before:
             break
@@ -278,45 +305,49 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85,
     null (null if there is none). Repeated ids and rows: each row is a document; the rows of
     an id are not linked by it. Empty table: no rows.
     """
-    spark = documents.sparkSession
     id_type = documents.schema[doc_id].dataType.simpleString()
     texts = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = rarity(texts, words)
     docs = materialize(_documents(texts, order, words, percent, id_type), "tgm-documents")
     # one row of each class
     first = W.partitionBy("cls").orderBy("tk")
-    cls = docs.where("n > 0").select("cls", "tk", "n", "prefix", "mh").withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+    cls = docs.where("n > 0").select("cls", "tk", "n", "prefix", "hot", "mh").withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
     cls = materialize(cls, "tgm-classes")
-    big = cls.groupBy("mh").agg(F.count("*").alias("k")).where(F.col("k") > GROUP).select("mh", F.ceil(F.col("k") / GROUP).alias("chunks"))
+    chunks = F.ceil(F.greatest(F.col("k") / GROUP, F.col("size") / GROUP_SHINGLES))
+    big = cls.groupBy("mh").agg(F.count("*").alias("k"), F.sum("n").alias("size")).where((F.col("k") > GROUP) | ((F.col("k") > 1) & (F.col("size") > GROUP_SHINGLES)))
+    big = materialize(big.select("mh", chunks.alias("chunks")), "tgm-large")
     grouped = cls.join(big, "mh", "left").withColumn("gid", F.xxhash64("mh", F.pmod(F.xxhash64("cls"), F.coalesce("chunks", F.lit(1)))))
-    grouped = materialize(grouped.select("cls", "tk", "n", "gid", "prefix"), "tgm-groups")
+    # rows of prefix shingles that two groups at least hold; hot ones are held by many anyway
+    met = W.partitionBy("s")
+    live = grouped.select("cls", "gid", "n", F.explode("prefix").alias("s")).withColumns({"lo": F.min("gid").over(met), "hi": F.max("gid").over(met)}).where("lo <> hi").drop("lo", "hi")
+    live = materialize(live.unionByName(grouped.select("cls", "gid", "n", F.explode("hot").alias("s"))), "tgm-shared")
     # classes and groups that meet in a prefix shingle: a group's number of the pair is the larger
-    shared = grouped.select("cls", "gid", "n", F.explode("prefix").alias("s"))
-    meet = shared.withColumn("there", F.collect_set(F.struct("gid", "n")).over(W.partitionBy("s"))).where(F.size("there") > 1)
-    fits = f"g.gid > gid and 100 * least(g.n, n) >= {percent} * greatest(g.n, n)"
-    visits = meet.select("cls", F.explode(F.expr(f"array_distinct(transform(filter(there, g -> {fits}), g -> g.gid))")).alias("gid"))
-    visits = visits.groupBy("cls", "gid").agg(F.count("*").alias("k")).where(F.col("k") >= common_of(percent)).drop("k")
+    there = live.groupBy("s", F.col("gid").alias("g")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    fits = (F.col("g") > F.col("gid")) & (100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo"))
+    visits = live.join(there, "s").where(fits).groupBy("cls", F.col("g").alias("gid")).agg(F.count("*").alias("k")).where(F.col("k") >= common_of(percent)).drop("k")
     visits = materialize(visits, "tgm-visits")
     nv = visits.groupBy("gid").agg(F.count("*").alias("nv"))
     members = grouped.select("cls", "tk", "gid")
     size = members.groupBy("gid").agg(F.count("*").alias("k")).join(nv, "gid", "left").where("k > 1 or nv is not null")
     size = materialize(size.select("gid", F.greatest(F.lit(1), F.ceil(F.coalesce("nv", F.lit(0)) / VISITORS)).cast("int").alias("parts")), "tgm-sizes")
     members = members.join(size, "gid")
-    wanted = members.select("cls", "tk").unionByName(grouped.select("cls", "tk").join(visits.select("cls").distinct(), "cls", "left_semi")).distinct()
+    wanted = members.select("cls", "tk").unionByName(cls.select("cls", "tk").join(visits.select("cls").distinct(), "cls", "left_semi")).distinct()
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[int] = set()  # a repeated row (one id, one text) needs its set but once
         for batch in batches:
             keys = batch.column(0).to_pylist()
             c, out = [], []
             for _, i, s in _each([batch], 1, words):
                 if keys[i] not in seen:
+                    if len(seen) > 100_000:
+                        seen.clear()
                     seen.add(keys[i])
                     c.append(keys[i])
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(out, pa.binary())], ["cls", "set"])
 
-    found = texts.select("text", F.xxhash64("text").alias("tk")).join(wanted, "tk").select("cls", "text").mapInArrow(run, "cls long, set binary")
+    found = texts.select("text", F.xxhash64("doc_id", "text").alias("tk")).join(wanted, "tk").select("cls", "text").mapInArrow(trimmed(run), "cls long, set binary")
     sets = materialize(found, "tgm-sets")
     own = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("gid", "part", "cls")
     own = own.join(sets, "cls").select("gid", "part", F.lit(0).alias("kind"), (F.col("part") == 0).alias("first"), "cls", "set")
@@ -324,6 +355,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85,
     come = come.join(sets, "cls").select("gid", "part", F.lit(1).alias("kind"), F.lit(False).alias("first"), "cls", "set")
     at = own.unionByName(come).repartition("gid", "part").sortWithinPartitions("gid", "part", "kind")
     roots = components(at.mapInArrow(_verify(percent), "a long, b long"))
+    release(cls, big, live, visits, size, sets)
     least = docs.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = least.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     by_root = named.groupBy("root").agg(F.min("least").alias("component"))
@@ -333,21 +365,29 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85,
 
 def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", one_an_id: bool = True) -> DataFrame:
     """The rows of documents whose id is the smallest of their component, with all their
-    columns; one row an id, or without one_an_id one row of each component, so that texts of
-    an id that do not link all stay. Rows without an id go by a hash of their text instead,
-    below every real id only by chance; one row of each such text is considered."""
+    columns, whatever their names; one row an id, or without one_an_id one row of each
+    component, so that texts of an id that do not link all stay.
+
+    Null ids: such rows go by a hash of their text instead, behind every real id; one row of
+    each such text is considered. Null, empty and wordless texts link with nothing, so one row
+    of each such id and text stays. Repeated rows: one stays. Empty table: no rows.
+    """
     names = documents.columns
-    value = F.coalesce(F.col(text), F.lit(""))
-    key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.sha2(value, 256)))
-    numeric = documents.schema[doc_id].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
-    if numeric:  # compare ids as numbers: pad them, and keep texts behind them
-        wide = F.lpad((F.col(doc_id).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
-        key = F.coalesce(wide, key)
-    if not one_an_id:  # a row is its id and text; the separator is below every character
-        key = F.concat(key, F.lit("\0"), F.lpad(F.hex(F.xxhash64(value)), 16, "0"))
-    keyed = documents.withColumn("__key", key)
-    best = jaccard_components(keyed.select("__key", text), words, percent, "__key", text)
-    firsts = best.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__key")).distinct()
-    one = W.partitionBy("__key").orderBy(F.xxhash64(text))
-    kept = keyed.join(firsts, "__key", "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1")
-    return kept.select(*[F.col(f"`{c}`") for c in names])
+    inner = [f"c{i}" for i in range(len(names))]
+    d = documents.toDF(*inner)
+    at, value = f"c{names.index(doc_id)}", F.coalesce(F.col(f"c{names.index(text)}"), F.lit(""))
+    digits = lambda x: F.lpad(F.hex(x), 16, "0")
+    behind = F.concat(F.lit("F" * 18), digits(F.xxhash64(value)))
+    if documents.schema[doc_id].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+        # ids as bytes that sort as the numbers do
+        key = digits(F.col(at).cast("bigint").bitwiseXOR(F.lit(-(1 << 63))))
+    else:
+        key = F.hex(F.col(at).cast("string").cast("binary"))
+    if not one_an_id:  # a row is its id and text
+        key = F.concat(key, digits(F.xxhash64(value)))
+    keyed = d.withColumn("key", F.unhex(F.coalesce(key, behind)))
+    best = jaccard_components(keyed.select("key", value.alias("value")), words, percent, "key", "value")
+    firsts = best.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
+    one = W.partitionBy("key").orderBy(F.xxhash64(value))
+    kept = keyed.join(firsts, "key", "left_semi").withColumn("n", F.row_number().over(one)).where("n = 1")
+    return kept.select(*inner).toDF(*names)

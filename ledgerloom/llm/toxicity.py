@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, utf8
+from .common import in_fold, trimmed, utf8
 from .nbsvm import SAMPLE_ROWS, Model, char_ngrams, score_documents, train_model
 
 
@@ -46,4 +46,4 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.3,
             raw, offsets = utf8(batch.column(at))
             yield batch.filter(pa.array(m.score(raw, offsets) < threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(trimmed(run), documents.schema)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe import encoder
-from .common import materialize, steps, utf8, work_path
+from .common import materialize, steps, trimmed, utf8, work_path
 
 MAGIC = b"LLWM0001"
 _BLOCK = 512
@@ -198,7 +198,7 @@ def write_tokens(documents: DataFrame, folder: str, path: str, end_id: int = 2,
         if ids:
             yield close()
 
-    return materialize(d.mapInArrow(run, "part long, file long, name string, docs long, tokens long"), "wavelet-files")
+    return materialize(d.mapInArrow(trimmed(run, path), "part long, file long, name string, docs long, tokens long"), "wavelet-files")
 
 
 def read_tokens(spark, folder: str, files: DataFrame, id_type: str = "bigint") -> DataFrame:
@@ -221,7 +221,7 @@ def read_tokens(spark, folder: str, files: DataFrame, id_type: str = "bigint") -
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * k, pa.string()), pa.array(m.docs, pa.string()), pa.array(m.starts, pa.int64()), pa.array(ends - m.starts, pa.int64()), pa.array(crc, pa.int64())], ["name", "doc", "at", "n_tokens", "ids_crc32"])
 
     name = F.element_at(F.split("path", "/"), -1)
-    got = data.select(name.alias("name"), "content").mapInArrow(run, "name string, doc string, at long, n_tokens long, ids_crc32 long")
+    got = data.select(name.alias("name"), "content").mapInArrow(trimmed(run), "name string, doc string, at long, n_tokens long, ids_crc32 long")
     return got.join(base, "name").select(F.col("doc").cast(id_type).alias("doc_id"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
