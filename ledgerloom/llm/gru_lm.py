@@ -8,9 +8,10 @@ like counts, the last one of all words that are not near; a band is one input an
 class, and its words divide its probability by their counts.
 
 Training is truncated back-propagation: lanes of documents are cut into windows, gradients
-stay inside a window, the state goes on into the next. Every training document is in one of
-the parts that are trained apart and whose parameters are averaged, for a few rounds. Scoring carries the state across windows
-from a document's first word to its end.
+stay inside a window, the state goes on into the next. The training documents are dealt to a
+few rounds, and a round's to parts that are trained apart and whose parameters are averaged,
+so every training document is learned once, to its end. Scoring carries the state across
+windows from a document's first word to its end.
 """
 
 from __future__ import annotations
@@ -32,10 +33,15 @@ RARE = 8
 HIDDEN = 24
 #: Words whose counts are broadcast for direct look-up (16 bytes each); others are joined.
 NEAR = 200_000
-#: Passes over all training documents.
+#: Shares of the training documents that are learned one after the other, each document once.
 ROUNDS = 4
-#: Tokens of each part that is trained apart.
-PART_TOKENS = 400_000
+#: Tokens of each part of a share that is trained apart.
+PART_TOKENS = 1_000_000
+#: Lanes of a part, and the size of the first round's steps.
+WIDTH = 256
+RATE = 0.02
+#: Tokens that a task scores at a time.
+SCORED = 1 << 21
 #: Parameters in one row of a task's result.
 PIECE = 1 << 15
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
@@ -130,13 +136,14 @@ class Vocabulary:
 
 
 def new_model(v: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
-    """Random recurrent weights; output biases start at the words' shares."""
+    """Random recurrent weights; output biases start at the words' shares. The gates update,
+    reset and candidate lie one after the other in wx, u and b."""
     rng, k = np.random.default_rng(seed), v.k
     f = np.float32
     m = {
-        "wx": rng.normal(0, 0.1, (v.start + 1, 3 * HIDDEN)).astype(f),  # inputs: head words, bands, start
-        "u": (rng.normal(0, 1, (HIDDEN, 3 * HIDDEN)) / np.sqrt(HIDDEN)).astype(f),
-        "b": np.zeros(3 * HIDDEN, f),
+        "wx": rng.normal(0, 0.1, (3, v.start + 1, HIDDEN)).astype(f),  # inputs: head words, bands, start
+        "u": (rng.normal(0, 1, (3, HIDDEN, HIDDEN)) / np.sqrt(HIDDEN)).astype(f),
+        "b": np.zeros((3, HIDDEN), f),
         "wc": np.zeros((HIDDEN, v.classes + v.bands), f),
         "bc": np.zeros(v.classes + v.bands, f),
         "ww": rng.normal(0, 0.01, (k, HIDDEN)).astype(f),
@@ -146,11 +153,15 @@ def new_model(v: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
     m["bc"][: v.classes] = np.log(mass + 0.5)
     m["bc"][v.classes :] = np.log(np.maximum(v.mass, 0.5))
     m["bc"] -= m["bc"].max()
+    for c in range(v.classes):  # the scores of a class start near zero
+        a, b = v.first[c], v.first[c + 1]
+        if a < b:
+            m["bw"][a:b] -= m["bw"][a:b].max()
     return m
 
 
 def lanes(lengths: np.ndarray, width: int) -> list[list[int]]:
-    """Documents dealt to lanes, longest first to the shortest lane."""
+    """Pieces dealt to lanes, longest first to the shortest lane; lanes by falling length."""
     import heapq
 
     width = max(1, min(width, len(lengths)))
@@ -163,91 +174,123 @@ def lanes(lengths: np.ndarray, width: int) -> list[list[int]]:
     return sorted(out, key=lambda x: -sum(int(lengths[d]) for d in x))
 
 
-def lay_out(ids: np.ndarray, rows: np.ndarray, plan: list[list[int]], start: int):
-    """(target, input, fresh) of shape steps x lanes, target -1 where a lane has ended; and
-    each cell's document."""
-    lengths = np.diff(rows)
-    t = max((int(lengths[x].sum()) for x in plan), default=0)
-    target = np.full((t, len(plan)), -1, np.int32)
-    before = np.full((t, len(plan)), start, np.int32)
-    doc = np.zeros((t, len(plan)), np.int32)
-    for lane, docs in enumerate(plan):
-        at = 0
-        for d in docs:
-            n = int(lengths[d])
-            x = ids[rows[d] : rows[d + 1]]
-            target[at : at + n, lane] = x
-            before[at + 1 : at + n, lane] = x[:-1]
-            doc[at : at + n, lane] = d
-            at += n
-    return target, before, doc
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def _states(m: dict, before: np.ndarray, h: np.ndarray, start: int, keep: bool = False):
-    """Hidden states after each step's input; a document's first input starts from zero."""
-    out = np.empty((*before.shape, HIDDEN), np.float32)
-    saved = []
-    for t in range(len(before)):
-        x = before[t]
-        p = h * (x != start)[:, None]
-        a = m["wx"][x]
-        a += m["b"]
-        g = p @ m["u"]
-        zr = _sigmoid(a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        gn = g[:, 2 * HIDDEN :]
-        n = np.tanh(a[:, 2 * HIDDEN :] + r * gn)
-        h = n + z * (p - n)
-        out[t] = h
-        if keep:
-            saved.append((p, z, r, n, gn))
-    return out, h, saved
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+class Lanes:
+    """Token sequences side by side. A lane is a row of pieces: whole documents, or with `cut`
+    parts of at most so many tokens, each of which starts from the zero state. Memory is a few
+    numbers a token, however long the longest document."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, width: int, start: int, cut: int = 0):
+        self.ids, self.start = ids, start
+        size = np.diff(rows)
+        n = -(-size // cut) if cut else np.ones(len(size), np.int64)
+        doc = np.repeat(np.arange(len(size)), n)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        first = rows[:-1][doc] + nth * cut
+        length = np.minimum(rows[1:][doc] - first, cut) if cut else size
+        plan = lanes(length, width)
+        order = np.array([d for x in plan for d in x], np.int64)
+        k = length[order]
+        ends = np.cumsum(k)
+        self.token = (np.repeat(first[order] - (ends - k), k) + np.arange(ends[-1] if len(ends) else 0)).astype(np.int32)
+        self.opens = np.zeros(len(self.token), bool)  # places of pieces' first tokens
+        self.opens[ends - k] = True
+        self.begins = np.zeros(len(ids), bool)  # tokens that begin a document
+        self.begins[rows[:-1]] = True
+        self.size = np.array([int(length[x].sum()) for x in plan], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+
+    def windows(self, length: int):
+        """(token, valid, target, before, carry) of each window, steps x live lanes: where a
+        lane has ended, valid is False; carry is 0 where a piece begins, else 1."""
+        for t in range(0, int(self.size.max(initial=0)), length):
+            live = int((self.size > t).sum())
+            step = np.arange(t, min(t + length, int(self.size[0])))[:, None]
+            valid = step < self.size[:live]
+            place = np.minimum(self.at[:live] + step, self.at[:live] + self.size[:live] - 1)
+            token = self.token[place]
+            before = np.where(self.begins[token], self.start, self.ids[np.maximum(token - 1, 0)])
+            yield token, valid, self.ids[token], before, np.where(self.opens[place], np.float32(0), np.float32(1))
+
+
+def _states(m: dict, before: np.ndarray, carry: np.ndarray, h: np.ndarray):
+    """Hidden states after each step's input, the last one, and what back-propagation needs.
+    Update and reset gates are (1 + tanh) / 2."""
+    steps_, width = before.shape
+    x = before.ravel()
+    a = [np.take(m["wx"][g], x, axis=0) for g in range(3)]
+    for g in range(3):
+        a[g] += m["b"][g]
+        a[g] = a[g].reshape(steps_, width, HIDDEN)
+    z, r, n, gn, p, out = np.empty((6, steps_, width, HIDDEN), np.float32)
+    for t in range(steps_):
+        np.multiply(h, carry[t][:, None], out=p[t])
+        for gate, g in ((z[t], 0), (r[t], 1)):
+            np.matmul(p[t], m["u"][g], out=gate)
+            gate += a[g][t]
+            np.tanh(gate, out=gate)
+            gate *= 0.5
+            gate += 0.5
+        np.matmul(p[t], m["u"][2], out=gn[t])
+        np.multiply(r[t], gn[t], out=n[t])
+        n[t] += a[2][t]
+        np.tanh(n[t], out=n[t])
+        h = out[t]
+        np.subtract(p[t], n[t], out=h)
+        h *= z[t]
+        h += n[t]
+    return out, h, (z, r, n, gn, p)
+
+
+def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the rows, kept inside the range of 32-bit numbers, and the rows' sums."""
+    np.clip(x, -80, 80, out=x)
+    e = np.exp(x)
+    return e, e @ np.ones(x.shape[1], np.float32)
 
 
 def log_probs(m: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray, grad: dict | None = None):
     """Natural log probability of each target given its state; with grad, adds the output
     layers' gradients of the mean negative log-likelihood and returns that of the states."""
     of = np.append(v.of, v.classes + np.arange(v.bands, dtype=np.int32))[target]
-    lc = _log_softmax(h @ m["wc"] + m["bc"])
+    # tokens of a class lie together
+    order = np.argsort(of.astype(np.int16) if v.classes + v.bands < 1 << 15 else of, kind="stable")
+    of, y, h = of[order], target[order], h[order]
     rows = np.arange(len(h))
-    out = lc[rows, of]
+    x = h @ m["wc"]
+    x += m["bc"]
+    e, total = _softmax(x)
+    got = x[rows, of] - np.log(total)
     dh = None
     if grad is not None:
-        e = np.exp(lc)
-        e[rows, of] -= 1
-        e /= len(h)
+        e /= (total * np.float32(len(h)))[:, None]
+        e[rows, of] -= np.float32(1 / len(h))
         grad["wc"] += h.T @ e
         grad["bc"] += e.sum(axis=0)
         dh = e @ m["wc"].T
-    order = np.argsort(of, kind="stable")
-    cut = np.searchsorted(of[order], np.arange(v.classes + 1))
+    cut = np.searchsorted(of, np.arange(v.classes + 1))
     for c in range(v.classes):
         a, b = v.first[c], v.first[c + 1]
-        i = order[cut[c] : cut[c + 1]]
-        if not len(i) or b - a < 1:
+        i, j = cut[c], cut[c + 1]
+        if i == j or b - a < 2:
             continue
-        hi = h[i]
-        lw = _log_softmax(hi @ m["ww"][a:b].T + m["bw"][a:b])
-        j = target[i] - a
-        k = np.arange(len(i))
-        out[i] += lw[k, j]
+        hi = h[i:j]
+        x = hi @ m["ww"][a:b].T
+        x += m["bw"][a:b]
+        e, total = _softmax(x)
+        k, w = rows[: j - i], y[i:j] - a
+        got[i:j] += x[k, w] - np.log(total)
         if grad is not None:
-            e = np.exp(lw)
-            e[k, j] -= 1
-            e /= len(h)
+            e /= (total * np.float32(len(h)))[:, None]
+            e[k, w] -= np.float32(1 / len(h))
             grad["ww"][a:b] += e.T @ hi
             grad["bw"][a:b] += e.sum(axis=0)
-            dh[i] += e @ m["ww"][a:b]
+            dh[i:j] += e @ m["ww"][a:b]
+    out = np.empty(len(got), got.dtype)
+    out[order] = got
+    if grad is not None:
+        back = np.empty_like(dh)
+        back[order] = dh
+        dh = back
     return out, dh
 
 
@@ -259,70 +302,82 @@ def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at[first], np.add.reduceat(rows[order], first)
 
 
-def train(m: dict, v: Vocabulary, ids: np.ndarray, rows: np.ndarray, rate: float, width: int = 48, window: int = 24) -> dict:
-    """One pass of truncated back-propagation with Adam steps, of a window's own inputs only
-    where the inputs' weights are concerned; returns the new parameters."""
+def gradients(m: dict, v: Vocabulary, target: np.ndarray, before: np.ndarray, valid: np.ndarray, carry: np.ndarray, h: np.ndarray):
+    """(mean log probability, gradients of its negative, inputs that `wx` has gradients of,
+    last state) of one window whose lanes start from the states h."""
+    out, last, (z, r, n, gn, p) = _states(m, before, carry, h)
+    grad = {k: np.zeros_like(x) for k, x in m.items() if k != "wx"}
+    got, d = log_probs(m, v, out[valid], target[valid], grad)
+    dh_all = np.zeros_like(out)
+    dh_all[valid] = d
+    # what the chain rule multiplies a state's gradient by, for all steps at once
+    into_n = (1 - z) * (1 - n * n)
+    into_z = (p - n) * (2 * z * (1 - z))
+    into_r = gn * (2 * r * (1 - r))
+    dz, dr, dn, dg = np.empty((4, *out.shape), np.float32)
+    uz, ur, un = (np.ascontiguousarray(m["u"][g].T) for g in range(3))
+    dh = np.zeros_like(h)
+    for t in range(len(out) - 1, -1, -1):
+        dh += dh_all[t]
+        np.multiply(dh, into_n[t], out=dn[t])
+        np.multiply(dh, into_z[t], out=dz[t])
+        np.multiply(dn[t], into_r[t], out=dr[t])
+        np.multiply(dn[t], r[t], out=dg[t])
+        dh *= z[t]
+        dh += dz[t] @ uz
+        dh += dr[t] @ ur
+        dh += dg[t] @ un
+        dh *= carry[t][:, None]
+    flat = [x.reshape(-1, HIDDEN) for x in (dz, dr, dn)]
+    used, rows = _sum_rows(before.ravel(), np.concatenate(flat, axis=1))
+    grad["wx"] = np.stack(np.split(rows, 3, axis=1))
+    q = p.reshape(-1, HIDDEN).T
+    for g, (x, y) in enumerate(zip(flat, (*flat[:2], dg.reshape(-1, HIDDEN)), strict=True)):
+        grad["b"][g] = x.sum(axis=0)
+        grad["u"][g] = q @ y
+    return float(got.mean()), grad, used, last
+
+
+def train(m: dict, v: Vocabulary, ids: np.ndarray, rows: np.ndarray, rate: float, width: int = WIDTH, window: int = 24, steps_: int = 48) -> dict:
+    """One pass of truncated back-propagation over every token, with Adam steps; returns the
+    new parameters. Documents longer than a lane's share are cut, so that lanes end together;
+    few tokens go in fewer lanes, so that there are `steps_` steps at least."""
     m = {k: x.copy() for k, x in m.items()}
     one = {k: np.zeros_like(x) for k, x in m.items()}
     two = {k: np.zeros_like(x) for k, x in m.items()}
-    start = v.start
-    target, before, _ = lay_out(ids, rows, lanes(np.diff(rows), width), start)
-    h, step = np.zeros((target.shape[1], HIDDEN), np.float32), 0
-    for t in range(0, len(target), window):
-        live = int((target[t] >= 0).sum())  # lanes are in order of their length
-        y, x = target[t : t + window, :live], before[t : t + window, :live]
-        out, h, saved = _states(m, x, h[:live], start, keep=True)
-        valid = y >= 0
-        grad = {k: np.zeros_like(p) for k, p in m.items() if k != "wx"}
-        _, d = log_probs(m, v, out[valid], y[valid], grad)
-        dh_all = np.zeros_like(out)
-        dh_all[valid] = d
-        dh = np.zeros_like(h)
-        da, dg = np.empty((2, *x.shape, 3 * HIDDEN), np.float32)
-        for s in range(len(y) - 1, -1, -1):
-            p, z, r, n, gn = saved[s]
-            dh = dh + dh_all[s]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (p - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            np.concatenate([dz, dr, dn], axis=1, out=da[s])
-            np.concatenate([dz, dr, dn * r], axis=1, out=dg[s])
-            dh = (dh * z + dg[s] @ m["u"].T) * (x[s] != start)[:, None]
-        used, grad["wx"] = _sum_rows(x.ravel(), da.reshape(-1, 3 * HIDDEN))
-        grad["b"] += da.sum(axis=(0, 1))
-        grad["u"] += np.concatenate([p for p, *_ in saved]).T @ dg.reshape(-1, 3 * HIDDEN)
+    width = max(1, min(width, len(ids) // (window * steps_)))
+    side = Lanes(ids, rows, width, v.start, max(window, -(-len(ids) // width)))
+    h, step = np.zeros((len(side.size), HIDDEN), np.float32), 0
+    for _, valid, target, before, carry in side.windows(window):
+        _, grad, used, h = gradients(m, v, target, before, valid, carry, h[: valid.shape[1]])
         step += 1
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        scale = min(1.0, 1.0 / max(norm, 1e-9))
+        scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
+        fade1, fade2 = np.float32(1 - 0.9**step), np.float32(1 - 0.99**step)
         for k, g in grad.items():
             g *= scale
-            at = used if k == "wx" else slice(None)
+            at = (slice(None), used) if k == "wx" else slice(None)
             a, b = one[k][at], two[k][at]
-            a += 0.1 * (g - a)
-            b += 0.01 * (g * g - b)
-            m[k][at] -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)
+            a += np.float32(0.1) * (g - a)
+            b += np.float32(0.01) * (g * g - b)
+            m[k][at] -= np.float32(rate) * (a / fade1) / (np.sqrt(b / fade2) + np.float32(1e-7))
             if k == "wx":
                 one[k][at], two[k][at] = a, b
     return m
 
 
-def score_ids(m: dict, v: Vocabulary, ids: np.ndarray, rows: np.ndarray, width: int = 256, window: int = 32) -> np.ndarray:
+def score_ids(m: dict, v: Vocabulary, ids: np.ndarray, rows: np.ndarray, width: int = 2 * WIDTH, window: int = 32) -> np.ndarray:
     """log10 probability of each document's sequence of head words and bands."""
     n = len(rows) - 1
-    out = np.zeros(n)
     if not n or not v.k:
-        return out
-    start = v.start
-    target, before, doc = lay_out(ids, rows, lanes(np.diff(rows), width), start)
-    h = np.zeros((target.shape[1], HIDDEN), np.float32)
-    for t in range(0, len(target), window):
-        live = int((target[t] >= 0).sum())  # lanes are in order of their length
-        y, x, d = target[t : t + window, :live], before[t : t + window, :live], doc[t : t + window, :live]
-        states, h, _ = _states(m, x, h[:live], start)
-        valid = y >= 0
-        p, _ = log_probs(m, v, states[valid], y[valid])
-        out += np.bincount(d[valid], p.astype(np.float64), n)
-    return out / LN10
+        return np.zeros(n)
+    side = Lanes(ids, rows, width, v.start)
+    out = np.zeros(len(ids), np.float32)
+    h = np.zeros((len(side.size), HIDDEN), np.float32)
+    for token, valid, target, before, carry in side.windows(window):
+        states, h, _ = _states(m, before, carry, h[: valid.shape[1]])
+        out[token[valid]] = log_probs(m, v, states[valid], target[valid])[0]
+    return np.add.reduceat(out, rows[:-1], dtype=np.float64) / LN10
 
 
 def _pack(m: dict) -> np.ndarray:
@@ -338,36 +393,46 @@ def _unpack(flat: np.ndarray, like: dict) -> dict:
     return out
 
 
+def _mean_of(table: pa.Table) -> pa.Table:
+    """The weighted mean of one piece of the parameters."""
+    w = table.column("w").to_numpy()
+    x = np.zeros(len(table.column("x")[0].as_py()) // 4)
+    for b, k in zip(table.column("x"), w, strict=True):
+        x += np.frombuffer(b.as_py(), np.float32) * (k / w.sum())
+    return pa.table({"i": table.column("i")[:1], "x": pa.array([x.astype(np.float32).tobytes()], pa.binary()), "w": pa.array([float(w.sum())])})
+
+
 def fit(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
-    """Train on all texts: parts of about PART_TOKENS tokens run apart, and the
-    token-weighted mean of their parameters starts the next round."""
+    """Train on all texts, each of them once: a round takes the next of `rounds` shares of the
+    documents, its parts of about PART_TOKENS tokens run apart, and the token-weighted mean of
+    their parameters starts the next round."""
     spark = texts.sparkSession
     m = new_model(v)
     if not v.k:
         return m
     vocab = spark.sparkContext.broadcast(v)
+    parts = max(1, round(v.total / rounds / PART_TOKENS))
+    # a task trains its parts one after another and hands on their sum, in pieces
+    tasks = min(parts, 2 * spark.sparkContext.defaultParallelism)
+    few = max(1, int(np.sqrt(tasks)))
 
     def number(batches):
         w = vocab.value
         for batch in batches:
             raw, offsets = utf8(batch.column(0))
-            out, n = [], []
+            out = []
             for a, b in steps(offsets):
                 h, rows = tokens_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 ids = w.number[w.find(h)]
                 out += [ids[rows[i] : rows[i + 1]].tobytes() for i in range(b - a)]
-                n += np.diff(rows).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(n, pa.int64())], ["ids", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
-    whole = materialize(texts.select("text").mapInArrow(trimmed(number), "ids binary, n long"), "lm-ids")
-    total = whole.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(1, round(total / PART_TOKENS))
-    # a task trains its parts one after another and hands on their sum, in pieces
-    tasks = min(parts, 2 * spark.sparkContext.defaultParallelism)
-    dealt = whole.select("ids", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("part"))
-    dealt = dealt.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part")
+    share = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(rounds))
     for k in range(rounds):
-        shared, rate = spark.sparkContext.broadcast(m), 0.02 * 0.5**k
+        shared, rate = spark.sparkContext.broadcast(m), RATE * 0.6**k
+        dealt = texts.select("text").where(share == k).mapInArrow(trimmed(number), "ids binary")
+        dealt = dealt.select("ids", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("part"))
+        dealt = dealt.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part")
 
         def run(batches, shared=shared, rate=rate):
             def trained(docs):
@@ -375,7 +440,7 @@ def fit(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
                 rows = np.concatenate([[0], np.cumsum([len(x) for x in docs])])
                 return _pack(train(shared.value, vocab.value, np.concatenate(docs), rows, rate)).astype(np.float64) * rows[-1], int(rows[-1])
 
-            total, weight, docs, part = 0.0, 0, [], None
+            total, weight, docs, part, first = 0.0, 0, [], None, 0
             for b in batches:
                 for x, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     if at != part and docs:
@@ -386,17 +451,17 @@ def fit(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
             if docs:
                 got, n = trained(docs)
                 total, weight = total + got, weight + n
-                cut = [(total[a : a + PIECE] / weight).astype(np.float32).tobytes() for a in range(0, len(total), PIECE)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cut)), pa.int32()), pa.array(cut, pa.binary()), pa.array([float(weight)] * len(cut))], ["i", "x", "w"])
-
-        def mean_of(table):
-            w = table.column("w").to_numpy()
-            x = np.average([np.frombuffer(b, np.float32) for b in table.column("x").to_pylist()], axis=0, weights=w)
-            return pa.table({"i": table.column("i")[:1], "x": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
-
-        mean = dealt.mapInArrow(trimmed(run), "i int, x binary, w double").groupBy("i").applyInArrow(mean_of, "i int, x binary").collect()
-        if mean:
-            m = _unpack(np.concatenate([np.frombuffer(r["x"], np.float32) for r in sorted(mean, key=lambda r: r["i"])]), m)
+                first = part % tasks % few
+                for i, a in enumerate(range(0, len(total), PIECE)):
+                    x = (total[a : a + PIECE] / weight).astype(np.float32).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([first], pa.int32()), pa.array([x], pa.binary()), pa.array([float(weight)])], ["i", "g", "x", "w"])
+
+        # means of groups of tasks, then of groups: no task gets a row of every other one
+        mean = dealt.mapInArrow(trimmed(run), "i int, g int, x binary, w double")
+        mean = mean.groupBy("i", "g").applyInArrow(_mean_of, "i int, x binary, w double")
+        got = mean.groupBy("i").applyInArrow(_mean_of, "i int, x binary, w double").collect()
+        if got:
+            m = _unpack(np.concatenate([np.frombuffer(r["x"], np.float32) for r in sorted(got, key=lambda r: r["i"])]), m)
         shared.unpersist()
     return m
 
@@ -435,42 +500,47 @@ def score_documents(documents: DataFrame, fold_of: tuple[int, int] = (5, 1), doc
 
         w, m = shared.value
         rid = TaskContext.get().partitionId() << 33
+        held, size = [], 0
+
+        def scored():
+            """Rows of all held documents, then one of each of their words that are not near."""
+            nonlocal rid
+            docs, ids, n, known, logs, tails, others, row, far = zip(*held, strict=True)
+            n = np.concatenate(n)
+            net = score_ids(m, w, np.concatenate(ids), np.concatenate([[0], np.cumsum(n)]))
+            key = rid + np.arange(len(n))
+            ids_ = pa.concat_arrays([x for d in docs for x in (d.chunks if isinstance(d, pa.ChunkedArray) else [d])])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(key), pa.nulls(len(n), pa.int64()), ids_, pa.array(n), pa.array(np.concatenate(known)), pa.array(np.concatenate(logs)),
+                pa.array(net + np.concatenate(tails)), pa.array(np.concatenate(others)),
+            ], names)
+            base = np.cumsum([0] + [len(x) for x in known])
+            r, x = np.concatenate([a + b for a, b in zip(row, base, strict=False)]), np.concatenate(far)
+            for a in range(0, len(r), 1 << 18):
+                k = len(r[a : a + (1 << 18)])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(key[r[a : a + k]]), pa.array(x[a : a + k].view(np.int64)), pa.nulls(k, ids_.type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()),
+                    pa.nulls(k, pa.float64()), pa.nulls(k, pa.int64()),
+                ], names)
+            rid += len(n)
+
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            ids_, rows_, known, logs, tails, rare = [], [np.zeros(1, np.int64)], [], [], [], []
-            done = 0
             for a, b in steps(offsets):
                 h, rows = tokens_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 at = w.find(h)
-                ids = w.number[at]
                 row = np.repeat(np.arange(b - a), np.diff(rows))
                 far = at == len(w.h)
-                known.append(np.bincount(row[~far], minlength=b - a))
-                logs.append(np.bincount(row, w.log_c[at], b - a))
-                tails.append((np.bincount(row, w.log_share[at], b - a), np.bincount(row[far], minlength=b - a)))
-                rare.append((row[far] + done, h[far]))
-                ids_.append(ids)
-                rows_.append(rows[1:] + rows_[-1][-1])
-                done += b - a
-            if not done:
-                continue
-            rows = np.concatenate(rows_)
-            net = score_ids(m, w, np.concatenate(ids_), rows)
-            n = len(rows) - 1
-            key = rid + np.arange(n)
-            null = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([
-                pa.array(key), null, batch.column(0), pa.array(np.diff(rows)), pa.array(np.concatenate(known)), pa.array(np.concatenate(logs)),
-                pa.array(net + np.concatenate([x for x, _ in tails])), pa.array(np.concatenate([x for _, x in tails])),
-            ], names)
-            r, x = np.concatenate([a for a, _ in rare]), np.concatenate([b for _, b in rare])
-            if len(r):
-                k = len(r)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(key[r]), pa.array(x.view(np.int64)), pa.nulls(k, batch.schema.types[0]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()),
-                    pa.nulls(k, pa.float64()), pa.nulls(k, pa.int64()),
-                ], names)
-            rid += n
+                held.append((
+                    batch.column(0).slice(a, b - a), w.number[at], np.diff(rows), np.bincount(row[~far], minlength=b - a), np.bincount(row, w.log_c[at], b - a),
+                    np.bincount(row, w.log_share[at], b - a), np.bincount(row[far], minlength=b - a), row[far], h[far],
+                ))
+                size += len(h)
+                if size > SCORED:
+                    yield from scored()
+                    held, size = [], 0
+        if held:
+            yield from scored()
 
     names = ["rid", "h", "doc_id", "n_tokens", "near", "log_c", "net", "others"]
     out = materialize(d.mapInArrow(trimmed(run), f"rid long, h long, doc_id {kind}, n_tokens long, near long, log_c double, net double, others long"), "lm-scores")
