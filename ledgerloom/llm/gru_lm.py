@@ -38,8 +38,8 @@ ROUNDS = 4
 #: Tokens of each part of a share that is trained apart.
 PART_TOKENS = 1_000_000
 #: Lanes of a part, and the size of the first round's steps.
-WIDTH = 256
-RATE = 0.02
+WIDTH = 512
+RATE = 0.03
 #: Tokens that a task scores at a time.
 SCORED = 1 << 21
 #: Parameters in one row of a task's result.
@@ -93,6 +93,9 @@ class Vocabulary:
     def __init__(self, near_h: np.ndarray, near_c: np.ndarray, head: np.ndarray, total: int, distinct: int, bands: int = 1):
         order = np.argsort(near_h)
         self.h, self.c = near_h[order], near_c[order].astype(np.int64)
+        bits = max(8, len(self.h).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        self.cell = np.searchsorted((self.h >> self.shift).astype(np.int64), np.arange((1 << bits) + 1))
         at = np.searchsorted(self.h, head)
         self.k = len(head)
         self.bands = bands
@@ -110,7 +113,7 @@ class Vocabulary:
         self.total, self.distinct = total, distinct
         self.log_c = np.append(np.log10(self.c + 0.5), 0.0)
         # classes in order of frequency, each of nearly the same mass
-        n = self.classes = max(1, round(np.sqrt(self.k)))
+        n = self.classes = max(1, round(0.6 * np.sqrt(self.k)))
         mass = np.cumsum(np.sqrt(self.head_c))
         self.of = np.minimum((mass - 1e-9) / max(mass[-1], 1e-9) * n, n - 1).astype(np.int32) if self.k else np.zeros(0, np.int32)
         self.first = np.searchsorted(self.of, np.arange(n + 1))
@@ -125,14 +128,21 @@ class Vocabulary:
         self.log_share[:-1][rest] = self.log_c[:-1][rest] - np.log10(self.mass[b[rest]])
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Index of each token among the near words, len(near) if it is none."""
+        """Index of each token among the near words, len(near) if it is none: the first of the
+        sorted near words that share the token's top bits, then the next ones."""
         n = len(self.h)
-        if not n:
-            return np.zeros(len(h), np.int64)
-        at = np.searchsorted(self.h, h)
-        at[at == n] = n - 1
-        at[self.h[at] != h] = n
-        return at
+        cell = (h >> self.shift).astype(np.int64)
+        at, end = self.cell[cell], self.cell[cell + 1]
+        out = np.full(len(h), n, np.int64)
+        todo = np.flatnonzero(at < end)
+        at, end, h = at[todo], end[todo], h[todo]
+        while len(todo):
+            hit = self.h[at] == h
+            out[todo[hit]] = at[hit]
+            at = at + 1
+            go = ~hit & (at < end)
+            todo, at, end, h = todo[go], at[go], end[go], h[go]
+        return out
 
 
 def new_model(v: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
@@ -212,60 +222,66 @@ class Lanes:
             yield token, valid, self.ids[token], before, np.where(self.opens[place], np.float32(0), np.float32(1))
 
 
-def _states(m: dict, before: np.ndarray, carry: np.ndarray, h: np.ndarray):
-    """Hidden states after each step's input, the last one, and what back-propagation needs.
-    Update and reset gates are (1 + tanh) / 2."""
+def _states(m: dict, before: np.ndarray, carry: np.ndarray, h: np.ndarray, keep: bool = False):
+    """Hidden states after each step's input, the last one, and (if asked for) what
+    back-propagation needs. Update and reset gates are (1 + tanh) / 2."""
     steps_, width = before.shape
     x = before.ravel()
     a = [np.take(m["wx"][g], x, axis=0) for g in range(3)]
     for g in range(3):
         a[g] += m["b"][g]
         a[g] = a[g].reshape(steps_, width, HIDDEN)
-    z, r, n, gn, p, out = np.empty((6, steps_, width, HIDDEN), np.float32)
+    out = np.empty((steps_, width, HIDDEN), np.float32)
+    saved = np.empty((5, steps_ if keep else 1, width, HIDDEN), np.float32)
     for t in range(steps_):
-        np.multiply(h, carry[t][:, None], out=p[t])
-        for gate, g in ((z[t], 0), (r[t], 1)):
-            np.matmul(p[t], m["u"][g], out=gate)
+        z, r, n, gn, p = saved[:, t if keep else 0]
+        np.multiply(h, carry[t][:, None], out=p)
+        for gate, g in ((z, 0), (r, 1)):
+            np.matmul(p, m["u"][g], out=gate)
             gate += a[g][t]
             np.tanh(gate, out=gate)
             gate *= 0.5
             gate += 0.5
-        np.matmul(p[t], m["u"][2], out=gn[t])
-        np.multiply(r[t], gn[t], out=n[t])
-        n[t] += a[2][t]
-        np.tanh(n[t], out=n[t])
+        np.matmul(p, m["u"][2], out=gn)
+        np.multiply(r, gn, out=n)
+        n += a[2][t]
+        np.tanh(n, out=n)
         h = out[t]
-        np.subtract(p[t], n[t], out=h)
-        h *= z[t]
-        h += n[t]
-    return out, h, (z, r, n, gn, p)
+        np.subtract(p, n, out=h)
+        h *= z
+        h += n
+    return out, h, saved
 
 
 def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of the rows, kept inside the range of 32-bit numbers, and the rows' sums."""
-    np.clip(x, -80, 80, out=x)
+    """exp of the rows, kept below the largest 32-bit numbers, and the rows' sums."""
+    np.minimum(x, np.float32(80), out=x)
     e = np.exp(x)
-    return e, e @ np.ones(x.shape[1], np.float32)
+    total = e @ np.ones(x.shape[1], np.float32)
+    total += np.float32(1e-35)
+    return e, total
 
 
 def log_probs(m: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray, grad: dict | None = None):
-    """Natural log probability of each target given its state; with grad, adds the output
-    layers' gradients of the mean negative log-likelihood and returns that of the states."""
+    """Natural log probability of each target given its state; with grad (zeros), puts the
+    output layers' gradients of the mean negative log-likelihood there and returns that of the
+    states."""
     of = np.append(v.of, v.classes + np.arange(v.bands, dtype=np.int32))[target]
     # tokens of a class lie together
     order = np.argsort(of.astype(np.int16) if v.classes + v.bands < 1 << 15 else of, kind="stable")
     of, y, h = of[order], target[order], h[order]
-    rows = np.arange(len(h))
+    rows, one = np.arange(len(h)), np.ones(len(h), np.float32)
     x = h @ m["wc"]
     x += m["bc"]
     e, total = _softmax(x)
     got = x[rows, of] - np.log(total)
     dh = None
     if grad is not None:
-        e /= (total * np.float32(len(h)))[:, None]
+        total *= np.float32(len(h))
+        e *= (1 / total)[:, None]
         e[rows, of] -= np.float32(1 / len(h))
         grad["wc"] += h.T @ e
-        grad["bc"] += e.sum(axis=0)
+        grad["bc"] += one @ e
         dh = e @ m["wc"].T
     cut = np.searchsorted(of, np.arange(v.classes + 1))
     for c in range(v.classes):
@@ -280,10 +296,11 @@ def log_probs(m: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray, grad: d
         k, w = rows[: j - i], y[i:j] - a
         got[i:j] += x[k, w] - np.log(total)
         if grad is not None:
-            e /= (total * np.float32(len(h)))[:, None]
+            total *= np.float32(len(h))
+            e *= (1 / total)[:, None]
             e[k, w] -= np.float32(1 / len(h))
-            grad["ww"][a:b] += e.T @ hi
-            grad["bw"][a:b] += e.sum(axis=0)
+            np.matmul(e.T, hi, out=grad["ww"][a:b])
+            grad["bw"][a:b] = one[: j - i] @ e
             dh[i:j] += e @ m["ww"][a:b]
     out = np.empty(len(got), got.dtype)
     out[order] = got
@@ -305,15 +322,21 @@ def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def gradients(m: dict, v: Vocabulary, target: np.ndarray, before: np.ndarray, valid: np.ndarray, carry: np.ndarray, h: np.ndarray):
     """(mean log probability, gradients of its negative, inputs that `wx` has gradients of,
     last state) of one window whose lanes start from the states h."""
-    out, last, (z, r, n, gn, p) = _states(m, before, carry, h)
+    out, last, (z, r, n, gn, p) = _states(m, before, carry, h, keep=True)
     grad = {k: np.zeros_like(x) for k, x in m.items() if k != "wx"}
     got, d = log_probs(m, v, out[valid], target[valid], grad)
     dh_all = np.zeros_like(out)
     dh_all[valid] = d
     # what the chain rule multiplies a state's gradient by, for all steps at once
-    into_n = (1 - z) * (1 - n * n)
-    into_z = (p - n) * (2 * z * (1 - z))
-    into_r = gn * (2 * r * (1 - r))
+    into_z, into_r, into_n, free = 1 - z, 1 - r, n * n, p - n
+    np.subtract(1, into_n, out=into_n)
+    into_n *= into_z
+    into_z *= z
+    into_z *= free
+    into_z *= 2
+    into_r *= r
+    into_r *= gn
+    into_r *= 2
     dz, dr, dn, dg = np.empty((4, *out.shape), np.float32)
     uz, ur, un = (np.ascontiguousarray(m["u"][g].T) for g in range(3))
     dh = np.zeros_like(h)
@@ -351,22 +374,29 @@ def train(m: dict, v: Vocabulary, ids: np.ndarray, rows: np.ndarray, rate: float
     for _, valid, target, before, carry in side.windows(window):
         _, grad, used, h = gradients(m, v, target, before, valid, carry, h[: valid.shape[1]])
         step += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
         scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-        fade1, fade2 = np.float32(1 - 0.9**step), np.float32(1 - 0.99**step)
+        size, low = np.float32(rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)), np.float32(1e-8)
         for k, g in grad.items():
-            g *= scale
             at = (slice(None), used) if k == "wx" else slice(None)
             a, b = one[k][at], two[k][at]
-            a += np.float32(0.1) * (g - a)
-            b += np.float32(0.01) * (g * g - b)
-            m[k][at] -= np.float32(rate) * (a / fade1) / (np.sqrt(b / fade2) + np.float32(1e-7))
+            g *= np.float32(0.1) * scale
+            a *= np.float32(0.9)
+            a += g
+            g *= g  # 0.01 times the square
+            b *= np.float32(0.99)
+            b += g
             if k == "wx":
                 one[k][at], two[k][at] = a, b
+            by = np.sqrt(b)
+            by += low
+            np.divide(a, by, out=by)
+            by *= size
+            m[k][at] -= by
     return m
 
 
-def score_ids(m: dict, v: Vocabulary, ids: np.ndarray, rows: np.ndarray, width: int = 2 * WIDTH, window: int = 32) -> np.ndarray:
+def score_ids(m: dict, v: Vocabulary, ids: np.ndarray, rows: np.ndarray, width: int = WIDTH, window: int = 32) -> np.ndarray:
     """log10 probability of each document's sequence of head words and bands."""
     n = len(rows) - 1
     if not n or not v.k:

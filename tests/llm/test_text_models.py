@@ -166,3 +166,65 @@ def test_vocabulary_grows_and_bands_add_up(spark, monkeypatch):
     p = [float(np.exp(gru_lm.log_probs(gru_lm.new_model(v), v, state, v.number[[i]])[0][0])) * 10 ** v.log_share[i] for i in range(len(h))]
     last = float(np.exp(gru_lm.log_probs(gru_lm.new_model(v), v, state, np.array([v.start - 1]))[0][0]))
     assert sum(p) + last * (30 + 0.5 * 7) / v.other_mass == pytest.approx(1, abs=1e-4)
+
+
+def small_model(seed=0):
+    """A model with nothing near zero, in double precision, and its vocabulary."""
+    h = np.arange(1, 40, dtype=np.uint64)
+    v = gru_lm.Vocabulary(h, np.arange(41, 2, -1), h[:20], 900, 39, gru_lm.BANDS)
+    rng = np.random.default_rng(seed)
+    return {k: x.astype(np.float64) + rng.normal(0, 0.3, x.shape) for k, x in gru_lm.new_model(v).items()}, v
+
+
+def naive_log10(m, v, ids):
+    """One document, one token at a time, from the definition."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-2 * x))  # noqa: E731  (1 + tanh x) / 2
+    softmax = lambda x: np.exp(x) / np.exp(x).sum()
+    h, x, total = np.zeros(gru_lm.HIDDEN), v.start, 0.0
+    for y in ids:
+        a = [m["wx"][g, x] + m["b"][g] for g in range(3)]
+        z, r = (sigmoid(a[g] + h @ m["u"][g]) for g in (0, 1))
+        n = np.tanh(a[2] + r * (h @ m["u"][2]))
+        h = z * h + (1 - z) * n
+        c = v.of[y] if y < v.k else v.classes + y - v.k
+        p = softmax(h @ m["wc"] + m["bc"])[c]
+        if y < v.k:
+            first, last = v.first[c], v.first[c + 1]
+            p *= softmax(m["ww"][first:last] @ h + m["bw"][first:last])[y - first]
+        total, x = total + np.log10(p), y
+    return total
+
+
+def test_scores_are_those_of_a_naive_forward_pass():
+    m, v = small_model()
+    rng = np.random.default_rng(1)
+    rows = np.array([0, 70, 71, 75, 140])
+    ids = rng.integers(0, v.start, rows[-1]).astype(np.int32)
+    m32 = {k: x.astype(np.float32) for k, x in m.items()}
+    got = gru_lm.score_ids(m32, v, ids, rows, width=3, window=8)
+    assert got == pytest.approx([naive_log10(m, v, ids[a:b]) for a, b in zip(rows, rows[1:], strict=False)], rel=1e-4)
+
+
+def test_gradients_are_those_of_finite_differences():
+    m, v = small_model(2)
+    rng = np.random.default_rng(3)
+    ids, rows = rng.integers(0, v.start, 60).astype(np.int32), np.array([0, 20, 27, 60])
+    side = gru_lm.Lanes(ids, rows, 2, v.start, 25)
+    _, valid, target, before, carry = next(side.windows(40))
+    h = rng.normal(0, 0.5, (valid.shape[1], gru_lm.HIDDEN)).astype(np.float32)
+    m32 = {k: x.astype(np.float32) for k, x in m.items()}
+    mean, grad, used, _ = gru_lm.gradients(m32, v, target, before, valid, carry, h)
+    # a gradient's length along random directions, and along single parameters
+    def loss(m):
+        out, _, _ = gru_lm._states(m, before, carry, h)
+        return -float(gru_lm.log_probs(m, v, out[valid], target[valid])[0].astype(np.float64).mean())
+
+    assert loss(m32) == pytest.approx(-mean, rel=1e-5)
+    for k in m:
+        full = np.zeros_like(m32[k])
+        full[(slice(None), used) if k == "wx" else slice(None)] = grad[k]
+        assert np.abs(full).max() > 1e-5
+        way = full / np.sqrt((full * full).sum())
+        e = 0.05
+        up, down = ({**m32, k: m32[k] + np.float32(s * e) * way} for s in (1, -1))
+        assert (loss(up) - loss(down)) / (2 * e) == pytest.approx(np.sqrt((full * full).sum()), rel=0.03), k
