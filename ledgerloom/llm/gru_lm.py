@@ -34,11 +34,11 @@ HIDDEN = 24
 #: Words whose counts are broadcast for direct look-up (16 bytes each); others are joined.
 NEAR = 200_000
 #: Shares of the training documents that are learned one after the other, each document once.
-ROUNDS = 4
+ROUNDS = 3
 #: Tokens of each part of a share that is trained apart.
 PART_TOKENS = 1_000_000
 #: Lanes of a part, and the size of the first round's steps.
-WIDTH = 512
+WIDTH = 384
 RATE = 0.03
 #: Tokens that a task scores at a time.
 SCORED = 1 << 21
@@ -311,12 +311,12 @@ def log_probs(m: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray, grad: d
     return out, dh
 
 
-def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different numbers in at, and the sum of each one's rows."""
-    order = np.argsort(at, kind="stable")
+def _sum_rows(at: np.ndarray, several: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers in at, and the sum of each one's rows in each of several arrays."""
+    order = np.argsort(at.astype(np.int16) if at.max(initial=0) < 1 << 15 else at, kind="stable")
     at = at[order]
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return at[first], np.add.reduceat(rows[order], first)
+    return at[first], np.stack([np.add.reduceat(x[order], first) for x in several])
 
 
 def gradients(m: dict, v: Vocabulary, target: np.ndarray, before: np.ndarray, valid: np.ndarray, carry: np.ndarray, h: np.ndarray):
@@ -324,9 +324,13 @@ def gradients(m: dict, v: Vocabulary, target: np.ndarray, before: np.ndarray, va
     last state) of one window whose lanes start from the states h."""
     out, last, (z, r, n, gn, p) = _states(m, before, carry, h, keep=True)
     grad = {k: np.zeros_like(x) for k, x in m.items() if k != "wx"}
-    got, d = log_probs(m, v, out[valid], target[valid], grad)
-    dh_all = np.zeros_like(out)
-    dh_all[valid] = d
+    if valid.all():
+        got, d = log_probs(m, v, out.reshape(-1, HIDDEN), target.ravel(), grad)
+        dh_all = d.reshape(out.shape)
+    else:
+        got, d = log_probs(m, v, out[valid], target[valid], grad)
+        dh_all = np.zeros_like(out)
+        dh_all[valid] = d
     # what the chain rule multiplies a state's gradient by, for all steps at once
     into_z, into_r, into_n, free = 1 - z, 1 - r, n * n, p - n
     np.subtract(1, into_n, out=into_n)
@@ -352,8 +356,7 @@ def gradients(m: dict, v: Vocabulary, target: np.ndarray, before: np.ndarray, va
         dh += dg[t] @ un
         dh *= carry[t][:, None]
     flat = [x.reshape(-1, HIDDEN) for x in (dz, dr, dn)]
-    used, rows = _sum_rows(before.ravel(), np.concatenate(flat, axis=1))
-    grad["wx"] = np.stack(np.split(rows, 3, axis=1))
+    used, grad["wx"] = _sum_rows(before.ravel(), flat)
     q = p.reshape(-1, HIDDEN).T
     for g, (x, y) in enumerate(zip(flat, (*flat[:2], dg.reshape(-1, HIDDEN)), strict=True)):
         grad["b"][g] = x.sum(axis=0)
@@ -406,7 +409,10 @@ def score_ids(m: dict, v: Vocabulary, ids: np.ndarray, rows: np.ndarray, width:
     h = np.zeros((len(side.size), HIDDEN), np.float32)
     for token, valid, target, before, carry in side.windows(window):
         states, h, _ = _states(m, before, carry, h[: valid.shape[1]])
-        out[token[valid]] = log_probs(m, v, states[valid], target[valid])[0]
+        if valid.all():
+            out[token.ravel()] = log_probs(m, v, states.reshape(-1, HIDDEN), target.ravel())[0]
+        else:
+            out[token[valid]] = log_probs(m, v, states[valid], target[valid])[0]
     return np.add.reduceat(out, rows[:-1], dtype=np.float64) / LN10
 
 
@@ -433,7 +439,7 @@ def _mean_of(table: pa.Table) -> pa.Table:
 
 
 def fit(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
-    """Train on all texts, each of them once: a round takes the next of `rounds` shares of the
+    """Train on all rows of texts (doc_id, text), each of them once: a round takes the next of `rounds` shares of the
     documents, its parts of about PART_TOKENS tokens run apart, and the token-weighted mean of
     their parameters starts the next round."""
     spark = texts.sparkSession
@@ -457,7 +463,7 @@ def fit(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
                 out += [ids[rows[i] : rows[i + 1]].tobytes() for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
-    share = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(rounds))
+    share = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(rounds))
     for k in range(rounds):
         shared, rate = spark.sparkContext.broadcast(m), RATE * 0.6**k
         dealt = texts.select("text").where(share == k).mapInArrow(trimmed(number), "ids binary")
