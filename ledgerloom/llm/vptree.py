@@ -1,9 +1,13 @@
 """Approximate nearest neighbours by vantage-point trees, one per shard.
 
 Vectors are scaled to length one, where the largest cosine is the smallest distance. A tree
-node keeps a vantage vector and the distances that bound its inner and outer half; a half is
-skipped when the triangle inequality, relaxed by `relax`, rules it out: relax 1 skips only
-what cannot hold a nearer vector (exact search), larger values skip more.
+node keeps a vantage vector and the distances that bound its inner and outer half. The
+triangle inequality gives a gap for each half on the way: no vector of the half is nearer than
+that. A half is skipped when the largest gap on its way, plus (relax - 1) times the root of
+the sum of their squares, exceeds the k-th distance found so far: relax 1 skips only what
+cannot hold a nearer vector (exact search), larger values skip more. The registered search
+takes relax from a bounded sample, as the largest of RELAX that finds TARGET of the sample's
+true neighbours.
 """
 
 from __future__ import annotations
@@ -14,7 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import bound_batches, materialize
+
+#: Factors to choose from, and the share of a sample's neighbours that the chosen one finds.
+RELAX = (1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 10.0, 12.0, 16.0)
+TARGET = 0.95
+#: Queries of the sample.
+ASKED = 200
+#: Blocks of queries that one task holds with a shard.
+BLOCKS = 16
 
 
 class VPTree:
@@ -50,10 +62,12 @@ class VPTree:
 
     def search(self, queries: np.ndarray, k: int, relax: float = 1.0, slack: float = 1e-9) -> list[np.ndarray]:
         """Row numbers of each query's candidates: all rows found whose distance is within
-        slack of the k-th smallest found."""
+        slack of the k-th smallest found. `compared` counts the rows that queries met in
+        leaves."""
         n = len(queries)
         near = np.full((n, k), np.inf)
         found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
+        self.compared = 0
 
         def offer(q: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
             keep = d <= near[q, -1:] + slack
@@ -62,10 +76,11 @@ class VPTree:
             for i in np.flatnonzero(keep.any(axis=1)):
                 found[q[i]].append((rows[keep[i]], d[i][keep[i]]))
 
-        def visit(at: int, q: np.ndarray) -> None:
+        def visit(at: int, q: np.ndarray, most: np.ndarray, squares: np.ndarray) -> None:
             node = self.nodes[at]
             if len(node) == 1:
                 rows = node[0]
+                self.compared += len(rows) * len(q)
                 sq = np.maximum(2 - 2 * (queries[q] @ self.x[rows].T), 0)
                 offer(q, rows, np.sqrt(sq))
                 return
@@ -76,9 +91,10 @@ class VPTree:
             first = gap1 - (d < (hi1 + lo2) / 2) * 1e-12 <= gap2
 
             def enter(child: int, which: np.ndarray, gap: np.ndarray) -> None:
-                which = which & (gap * relax <= near[q, -1] + slack)
+                top, sum_ = np.maximum(most, gap), squares + gap * gap
+                which = which & (top + (relax - 1) * np.sqrt(sum_) <= near[q, -1] + slack)
                 if which.any():
-                    visit(child, q[which])
+                    visit(child, q[which], top[which], sum_[which])
 
             enter(inner, first, gap1)
             enter(outer, ~first, gap2)
@@ -86,7 +102,7 @@ class VPTree:
             enter(inner, ~first, gap1)
 
         if len(self.x) and n:
-            visit(self.root, np.arange(n))
+            visit(self.root, np.arange(n), np.zeros(n), np.zeros(n))
         out = []
         for i in range(n):
             if not found[i]:
@@ -97,13 +113,36 @@ class VPTree:
         return out
 
 
+def chosen_relax(unit: np.ndarray, k: int, target: float = TARGET, asked: int = ASKED) -> float:
+    """The largest of RELAX that, among the sample's unit vectors, finds `target` of the k
+    nearest of `asked` of them; 1 for an empty sample."""
+    if not len(unit):
+        return 1.0
+    q = unit[:: max(1, len(unit) // asked)][:asked]
+    d = np.sort(np.sqrt(np.maximum(2 - 2 * (q @ unit.T), 0)), axis=1)[:, : k + 1]
+    tree, best = VPTree(unit), 1.0
+    for relax in RELAX[1:]:
+        got = tree.search(q, d.shape[1], relax)
+        hits = sum(int((np.sqrt(np.maximum(2 - 2 * (q[i] @ unit[r].T), 0)) <= d[i, -1] + 1e-9).sum()) for i, r in enumerate(got))
+        if hits < target * d.size:
+            break
+        best = relax
+    return best
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one, by way of their largest component, so nothing overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of the rows of a and b, each row summed alone, so equal rows give equal bits."""
     a, b = a.astype(np.float64), b.astype(np.float64)
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
-def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, relax: float = 1.15, shard_rows: int = 4096, block: int = 1024, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, relax: float | None = None, shard_rows: int = 4096, block: int = 1024, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the k
     rows of largest cosine found among all others, ties to the smaller id.
 
@@ -112,11 +151,15 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, relax: float = 1
     one vector are indexed once with their k + 1 smallest ids, so copies cost nothing.
     Repeated ids: a query never finds a row of its own id. Empty table: no rows.
 
+    Other columns are not read. relax: see VPTree.search; None takes it from one shard of
+    vectors at most, 1 is exact.
+
     Every shard (about shard_rows different vectors, dealt by hash) gets every block of
-    queries, the stated query set against all rows; a block travels as one packed row, and a
-    shard hands on k answers for each query.
+    queries, the stated query set against all rows; a block travels as one packed row, a task
+    holds a shard and BLOCKS blocks at most, and a shard hands on k answers for each query.
     """
     spark = embeddings.sparkSession
+    bound_batches(spark)
     v = F.col(vector).cast("array<double>")
     d = embeddings.select(F.col(vec_id).cast("bigint").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     d = d.where(F.expr("size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('Infinity')) and exists(v, x -> x <> 0)"))
@@ -128,31 +171,33 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, relax: float = 1
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards = max(1, -(-max(r["n"] for r in counted) // shard_rows))
     rows = base.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "v", "ids")
+    if relax is None:
+        most = max(counted, key=lambda r: (r["n"], r["dim"]))["dim"]
+        some = rows.where((F.col("dim") == most) & (F.col("shard") == 0)).select("v").orderBy(F.xxhash64("v")).limit(shard_rows).toPandas()["v"].tolist()
+        relax = chosen_relax(_unit(np.array(sorted(map(tuple, some)), np.float64).reshape(-1, most)), k)
     asked = d.where(F.col("id") % every == 0)
     n_asked = asked.count()
     blocks = max(1, -(-n_asked // block))
     asked = asked.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), "v", "id")
     # one row a block, then one copy of it for each shard
     packed = asked.groupBy("dim", "b").agg(F.collect_list(F.struct("id", "v")).alias("q"))
-    spread = packed.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "q")
+    groups = -(-blocks // BLOCKS)
+    spread = packed.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), (F.col("b") % groups).alias("part"), "q")
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def search(key, left, right):
         dim = key[0]
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         x = np.array(left["v"].tolist(), np.float64).reshape(-1, dim)
-        unit = x / np.abs(x).max(axis=1, keepdims=True)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        tree = VPTree(unit)
+        tree = VPTree(_unit(x))
         ids = left["ids"].tolist()
         out_q, out_v, out_s = [], [], []
         for q in right["q"]:
             qid = np.array([r["id"] for r in q], np.int64)
             y = np.array([r["v"] for r in q], np.float64).reshape(-1, dim)
-            scaled = y / np.abs(y).max(axis=1, keepdims=True)
-            scaled /= np.linalg.norm(scaled, axis=1, keepdims=True)
             # the query's own vector may fill a place: one more is asked for
-            for i, rows_ in enumerate(tree.search(scaled, k + 1, relax)):
+            for i, rows_ in enumerate(tree.search(_unit(y), k + 1, relax)):
                 if not len(rows_):
                     continue
                 score = cosine(np.broadcast_to(y[i], (len(rows_), dim)), x[rows_])
@@ -164,7 +209,7 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, relax: float = 1
                     out_s.append(-s)
         return pd.DataFrame({"query_id": np.array(out_q, np.int64), "vec_id": np.array(out_v, np.int64), "score": np.array(out_s, np.float64)})
 
-    near = rows.groupBy("dim", "shard").cogroup(spread.groupBy("dim", "shard")).applyInPandas(search, "query_id long, vec_id long, score double")
+    near = rows.groupBy("dim", "shard", "part").cogroup(spread.groupBy("dim", "shard", "part")).applyInPandas(search, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

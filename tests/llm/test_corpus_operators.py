@@ -264,3 +264,24 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r["doc_id"] for r in docs.collect()) == list(range(30))
     pieces = p.run(spark, str(tmp_path)).collect()
     assert pieces and {r["doc_id"] for r in pieces} <= set(range(30))
+
+
+def test_relaxed_search_prunes_and_keeps_recall(spark):
+    """The registered setting on vectors without structure, the hardest case for pruning."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (3000, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    relax = vptree.chosen_relax(unit, 5)
+    assert relax > 1
+    tree = vptree.VPTree(unit)
+    tree.search(unit[::50], 6, relax)
+    assert tree.compared < 0.9 * 60 * 3000
+    tree.search(unit[::50], 6, 1.0)
+    assert tree.compared <= 60 * 3000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vptree.nearest(df, shard_rows=1000, block=7).collect()
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    hit = sum(r["vec_id"] in set(np.argsort(-s[r["query_id"]])[:5].tolist()) for r in got)
+    assert len(got) == 60 * 5 and hit >= 0.9 * len(got)
+    assert all(r["score"] == pytest.approx(s[r["query_id"], r["vec_id"]], abs=1e-12) for r in got)
