@@ -8,6 +8,7 @@ Scoring is one narrow map over whole texts: no shuffle, memory of one step of te
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 from typing import Callable
 
@@ -24,16 +25,36 @@ SAMPLE_ROWS = 20_000
 CHOOSE_ROWS = 800
 #: Bytes of text whose features are made at once: a dozen arrays of their size are alive then.
 STEP = 1 << 18
+#: Rows at a time, however short.
+STEP_ROWS = 256
 #: Bits of the hashed feature table.
 BITS = 22
 
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+def characters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character of the rows (A-Z lower-cased), and the rows' offsets in
+    characters. A character is a byte and the continuation bytes behind it."""
+    b = _LOWER[raw].astype(np.uint32)
+    if not len(raw) or raw.max() < 128:
+        return b, offsets
+    starts = np.flatnonzero((raw & 0xC0) != 0x80)
+    b = b[starts]
+    wide = np.flatnonzero(raw[starts] >= 0xC0)
+    for j in range(1, 4):
+        p = starts[wide] + j
+        wide, p = wide[p < len(raw)], p[p < len(raw)]
+        more = (raw[p] & 0xC0) == 0x80
+        wide, p = wide[more], p[more]
+        b[wide] = b[wide] << np.uint32(8) | raw[p]
+    return b, np.searchsorted(starts, offsets)
+
+
 def char_ngrams(raw: np.ndarray, offsets: np.ndarray, orders=(4, 5, 6, 7, 8, 9), bits: int = BITS):
-    """(row, feature) of every byte n-gram of the lower-cased rows, n-grams within a row."""
+    """(row, feature) of every character n-gram of the lower-cased rows, n-grams within a row."""
     rows, feats = [], []
-    b = _LOWER[raw].astype(np.uint32)
+    b, offsets = characters(raw, offsets)
     row_of = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     n = len(b)
     with np.errstate(over="ignore"):
@@ -53,6 +74,29 @@ def char_ngrams(raw: np.ndarray, offsets: np.ndarray, orders=(4, 5, 6, 7, 8, 9),
     return np.concatenate(rows), np.concatenate(feats)
 
 
+#: Bytes that neighbouring parts of a long row share, so that no n-gram is lost between them.
+char_ngrams.overlap = 4 * 9
+
+
+def found(features: Features, raw: np.ndarray, offsets: np.ndarray):
+    """(first row, last row, rows, features) of runs of rows: at most STEP bytes and STEP_ROWS
+    rows at a time. A longer row comes in overlapping parts where the features allow it, so
+    memory does not follow the longest text; a feature may then come more than once."""
+    overlap = getattr(features, "overlap", None)
+    for a, b in steps(offsets, STEP):
+        if overlap and offsets[b] - offsets[a] > STEP:
+            for at in range(offsets[a], offsets[b], STEP):
+                end = min(offsets[b], at + STEP)
+                while end < offsets[b] and raw[end] & 0xC0 == 0x80:  # a character stays whole
+                    end += 1
+                part = raw[max(offsets[a], at - overlap) : end]
+                yield (a, b, *features(part, np.array([0, len(part)])))
+            continue
+        for i in range(a, b, STEP_ROWS):
+            j = min(b, i + STEP_ROWS)
+            yield (i, j, *features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+
+
 _KIND = np.full(256, 1, np.uint8)  # 1: letters without case and bytes of longer characters
 _KIND[:128] = 0
 _KIND[97:123], _KIND[65:91], _KIND[48:58] = 1, 2, 3
@@ -116,13 +160,17 @@ class Model:
         out = np.full(n, self.bias)
         if not k:
             return out
-        for a, b in steps(offsets, STEP):
-            rows, feats = self.features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        held, present = None, None
+        for a, b, rows, feats in found(self.features, raw, offsets):
+            if held != (a, b):
+                if held:
+                    out[held[0] : held[1]] += (present * self.weights).sum(axis=1)
+                held, present = (a, b), np.zeros((b - a, k), np.bool_)
             at = self.slots[feats]
             hit = at >= 0
-            present = np.zeros((b - a, k), np.bool_)
             present[rows[hit], at[hit]] = True
-            out[a:b] += (present * self.weights).sum(axis=1)
+        if held:
+            out[held[0] : held[1]] += (present * self.weights).sum(axis=1)
         return out
 
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -185,6 +233,19 @@ def calibrate(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def _distinct(features: Features, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray | None = None):
+    """((first row, last row), sorted different row << 32 | feature) of runs of rows; with a
+    table, of its numbers of the features that it has."""
+    for run, parts in itertools.groupby(found(features, raw, offsets), key=lambda x: x[:2]):
+        pairs = np.zeros(0, np.int64)
+        for _, _, rows, feats in parts:
+            if table is not None:
+                feats = table[feats]
+                rows, feats = rows[feats >= 0], feats[feats >= 0]
+            pairs = np.union1d(pairs, rows.astype(np.int64) << 32 | feats.astype(np.int64))
+        yield run, pairs
+
+
 def _choose(texts: DataFrame, ids: pd.DataFrame, features: Features, most: int, least_docs: int) -> np.ndarray:
     """The table slots to use: those whose presence depends most on the class, by the G
     statistic. Tasks count a slot's rows by class and Spark adds the counts up, so only the
@@ -193,26 +254,24 @@ def _choose(texts: DataFrame, ids: pd.DataFrame, features: Features, most: int,
     some = F.broadcast(spark.createDataFrame(ids[["id", "y"]], "id string, y int"))
     least_docs = min(least_docs, max(1, len(ids) // 4))
 
-    def total(found):
-        slots, n = np.unique(np.concatenate(found), return_counts=True)
+    def total(held):
+        slots, n = np.unique(np.concatenate(held), return_counts=True)
         one = slots & 1
         return pa.RecordBatch.from_arrays([pa.array((slots >> 1).astype(np.int64)), pa.array(n * one), pa.array(n * (1 - one))], ["slot", "p", "q"])
 
     def run(batches):
-        found, size = [], 0
+        held, size = [], 0
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             y = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in steps(offsets, STEP):
-                rows, feats = features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                pairs = np.unique(rows.astype(np.int64) << 32 | feats.astype(np.int64))
-                found += [(pairs & 0xFFFFFFFF) << 1 | y[a + (pairs >> 32)], -2 | y[a:b]]
+            for (a, b), pairs in _distinct(features, raw, offsets):
+                held += [(pairs & 0xFFFFFFFF) << 1 | y[a + (pairs >> 32)], -2 | y[a:b]]
                 size += len(pairs)
                 if size > 1_000_000:
-                    yield total(found)
-                    found, size = [], 0
-        if found:
-            yield total(found)
+                    yield total(held)
+                    held, size = [], 0
+        if held:
+            yield total(held)
 
     counts = texts.join(some, "id").select("y", "text").mapInArrow(trimmed(run), "slot long, p long, q long").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     counts = materialize(counts.where((F.col("p") + F.col("q") >= least_docs) | (F.col("slot") < 0)), "nbsvm-slots")
@@ -288,11 +347,7 @@ def _features_of(texts: DataFrame, ids: pd.DataFrame, features: Features, slots:
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             lists = []
-            for a, b in steps(offsets, STEP):
-                rows, feats = features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                feats = table[feats]
-                rows, feats = rows[feats >= 0], feats[feats >= 0]
-                pairs = np.unique(rows.astype(np.int64) << 32 | feats.astype(np.int64))
+            for (a, b), pairs in _distinct(features, raw, offsets, table):
                 cut = np.searchsorted(pairs >> 32, np.arange(b - a + 1))
                 low = (pairs & 0xFFFFFFFF).astype(np.int32)
                 lists += [low[cut[i] : cut[i + 1]].tobytes() for i in range(b - a)]

@@ -228,3 +228,61 @@ def test_gradients_are_those_of_finite_differences():
         e = 0.05
         up, down = ({**m32, k: m32[k] + np.float32(s * e) * way} for s in (1, -1))
         assert (loss(up) - loss(down)) / (2 * e) == pytest.approx(np.sqrt((full * full).sum()), rel=0.03), k
+
+
+def brute_ngrams(t, orders):
+    t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    return {t[i : i + k] for k in orders for i in range(len(t) - k + 1)}
+
+
+def test_character_ngrams_are_of_characters(monkeypatch):
+    """As many different features as different n-grams of characters, in parts or whole."""
+    rng = np.random.default_rng(0)
+    texts = ["", "Aé", "naïve Café 3€ 😀 ends", "".join(rng.choice(list("abÉé€😀 \n"), 400))]
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    rows, feats = nbsvm.char_ngrams(raw, offsets, (2, 4), bits=32)
+    for i, t in enumerate(texts):
+        assert len(set(feats[rows == i].tolist())) == len(brute_ngrams(t, (2, 4)))
+    whole = {x for _, pairs in nbsvm._distinct(nbsvm.char_ngrams, raw, offsets) for x in pairs.tolist()}
+    monkeypatch.setattr(nbsvm, "STEP", 64)
+    parts = {(a << 32) + x for (a, _), pairs in nbsvm._distinct(nbsvm.char_ngrams, raw, offsets) for x in pairs.tolist()}
+    assert parts == whole
+
+
+def test_many_short_texts_take_little_memory():
+    import tracemalloc
+
+    k = 6000
+    slots = np.full(1 << nbsvm.BITS, -1, np.int16)
+    slots[:k] = np.arange(k)
+    m = nbsvm.Model(nbsvm.char_ngrams, slots, np.ones(k), 0.25, 1.0, 0.0)
+    raw = np.frombuffer(b"0123456789" * 10_000, np.uint8)
+    tracemalloc.start()
+    got = m.decision(raw, np.arange(0, len(raw) + 1, 10))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(got.tolist())) == 1 and peak < 60e6
+
+
+@pytest.mark.parametrize("score, column", [(quality_scores, "quality"), (toxicity_scores, "toxic")])
+def test_held_out_accuracy_of_planted_classes(spark, score, column):
+    """Class 1 marked by form (quality) or by wording (toxicity), in a fold that never trains."""
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for i in range(500):
+        y = i % 3 == 0
+        words = [r.choice("river stone cloud walks under green silent houses".split()) for _ in range(50)]
+        if y and column == "toxic":
+            words[r.randrange(50)] = "blockheaded"
+        if y != (column == "quality") and column == "quality":
+            words = [w.upper() + "!!" if k % 3 == 0 else w for k, w in enumerate(words)]
+        rows.append((i, " ".join(words), int(y)))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    truth = {i: y for i, _, y in rows}
+    held = [x for x in score(docs, labels).collect() if x["held_out"]]
+    assert len(held) > 50 and sum(x["predicted"] == truth[x["doc_id"]] for x in held) >= 0.97 * len(held)
