@@ -8,9 +8,6 @@ is then drawn from its documents in the order of a seeded hash.
 
 from __future__ import annotations
 
-import heapq
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,7 +15,7 @@ from pyspark.sql import Window as W
 from .common import WORD_RE, materialize
 
 #: Patterns that the driver routes at most; more are an error, never a silent cut.
-MAX_PATTERNS = 20_000
+MAX_PATTERNS = 200_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0) -> dict[str | None, float]:
@@ -43,68 +40,81 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1)
     return out
 
 
-@dataclass
-class _Arc:
-    to: int
-    room: int
-    cost: int
-    back: int
+class _Network:
+    """Arcs in pairs: arc 2 i and its reverse 2 i + 1."""
+
+    def __init__(self, nodes: int):
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+
+    def add(self, a: int, b: int, room: int) -> int:
+        k = len(self.to)
+        self.to += [b, a]
+        self.room += [room, 0]
+        self.out[a].append(k)
+        self.out[b].append(k + 1)
+        return k
+
+    def fill(self, start: int, end: int) -> None:
+        """Augment to a maximum flow: blocking flows along shortest paths."""
+        while True:
+            level = [-1] * len(self.out)
+            level[start], now = 0, [start]
+            while now and level[end] < 0:
+                then = []
+                for a in now:
+                    for k in self.out[a]:
+                        b = self.to[k]
+                        if self.room[k] and level[b] < 0:
+                            level[b] = level[a] + 1
+                            then.append(b)
+                now = then
+            if level[end] < 0:
+                return
+            nth, way = [0] * len(self.out), []
+            while True:
+                a = self.to[way[-1]] if way else start
+                if a == end:
+                    room = min(self.room[k] for k in way)
+                    for k in way:
+                        self.room[k] -= room
+                        self.room[k ^ 1] += room
+                    way = way[: next(i for i, k in enumerate(way) if not self.room[k])]
+                elif nth[a] == len(self.out[a]):
+                    if not way:
+                        break
+                    level[a] = -1
+                    way.pop()
+                else:
+                    k = self.out[a][nth[a]]
+                    if self.room[k] and level[self.to[k]] == level[a] + 1:
+                        way.append(k)
+                    else:
+                        nth[a] += 1
 
 
 def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int], repeats: int) -> list[list[int]]:
     """Words routed from each pattern to each of its sources: as much of the quotas as can be
     met, at the least cost, where the k-th use of a pattern's words costs k - 1 a word.
-    Successive shortest paths with potentials; each path fills an arc."""
+
+    Every path through a pattern's k-th use costs the same k - 1 whatever the pattern, so
+    successive shortest paths come level by level: each level's arcs are opened and the flow
+    filled up before the next, dearer one."""
     p, s = len(capacity), len(quota)
-    n, start, end = p + s + 2, p + s, p + s + 1
-    arcs: list[list[_Arc]] = [[] for _ in range(n)]
-
-    def add(a: int, b: int, room: int, cost: int) -> None:
-        arcs[a].append(_Arc(b, room, cost, len(arcs[b])))
-        arcs[b].append(_Arc(a, 0, -cost, len(arcs[a]) - 1))
-
-    for i, c in enumerate(capacity):
-        for k in range(repeats):
-            add(start, i, c, k)
-        for j in members[i]:
-            add(i, p + j, c * repeats, 0)
+    start, end = p + s, p + s + 1
+    net = _Network(p + s + 2)
+    routed = [[net.add(i, p + j, c * repeats) for j in members[i]] for i, c in enumerate(capacity)]
     for j, q in enumerate(quota):
-        add(p + j, end, q, 0)
-    height = [0] * n
-    while True:
-        far = [None] * n
-        far[start], via, heap = 0, [None] * n, [(0, start)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > far[a]:
-                continue
-            for k, e in enumerate(arcs[a]):
-                if e.room > 0:
-                    x = d + e.cost + height[a] - height[e.to]
-                    if far[e.to] is None or x < far[e.to]:
-                        far[e.to], via[e.to] = x, (a, k)
-                        heapq.heappush(heap, (x, e.to))
-        if far[end] is None:
-            break
-        for a in range(n):
-            if far[a] is not None:
-                height[a] += far[a]
-        room, b = None, end
-        while b != start:
-            a, k = via[b]
-            room = arcs[a][k].room if room is None else min(room, arcs[a][k].room)
-            b = a
-        b = end
-        while b != start:
-            a, k = via[b]
-            arcs[a][k].room -= room
-            arcs[b][arcs[a][k].back].room += room
-            b = a
+        net.add(p + j, end, q)
+    for _ in range(repeats):
+        for i, c in enumerate(capacity):
+            net.add(start, i, c)
+        net.fill(start, end)
     out = [[0] * s for _ in range(p)]
-    for i in range(p):
-        for e in arcs[i]:
-            if p <= e.to < p + s:
-                out[i][e.to - p] += arcs[e.to][e.back].room
+    for i, arcs in enumerate(routed):
+        for j, k in zip(members[i], arcs, strict=True):
+            out[i][j] += net.room[k ^ 1]
     return out
 
 
@@ -165,23 +175,28 @@ def draw(rows: DataFrame, wanted: DataFrame, rows_a_cell: int = 200) -> DataFram
 
 
 def mix_documents(documents: DataFrame, members: F.Column, repeats: int = 2, seed: int = 2024, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5) -> DataFrame:
-    """(keep..., doc_id, size, pattern, source_size, target, copies, taken) of every row.
-
-    members: array of source names that a document belongs to (null names are a source);
-    source_size and target are those of its first source. copies: 0 to repeats; taken =
-    copies * size. Null text: size 0, never taken. Rows of one id and text are drawn by their
-    place in the stored work table, so a rerun over the same input agrees. Empty table: no
-    rows. Sources and patterns, not documents, come to the driver; more than MAX_PATTERNS
-    patterns raise an error.
+    """(keep..., doc_id, size, pattern, source, source_size, target, copies, taken) of every row.
+
+    members: array of source names that a document belongs to (null names are a source). The
+    flow says how many words of a pattern go to each of its sources; a hash deals the
+    pattern's documents to these in proportion, and each lot is drawn for its own words.
+    source: the one that a row's copies go to (its first one where the flow leaves the pattern
+    out); source_size and target are that source's. copies: 0 to repeats; taken = copies *
+    size.
+
+    Null text: size 0, never taken. Null ids are ids. Rows of one id and text share their
+    place in the draw, and reruns agree up to which of such equal rows is taken. Empty table:
+    no rows. Other columns are not read, whatever their names. Sources and patterns, not
+    documents, come to the driver; more than MAX_PATTERNS patterns raise an error.
     """
     spark = documents.sparkSession
     kept = [F.col(c).alias(f"keep_{c}") for c in keep]
     d = documents.select(F.col(doc_id).alias("doc_id"), word_count(F.col(text)).alias("size"), F.array_sort(F.array_distinct(members)).alias("m"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("crc"), *kept)
     # null sources survive in the key: a JSON array tells null from the text "null"
     d = d.withColumn("pattern", F.to_json("m", {"ignoreNullFields": "false"}))
-    u = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("crc"), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    d = materialize(d.select("doc_id", "size", "pattern", "m", u.alias("u"), *[f"keep_{c}" for c in keep]), "mix-sizes")
-    found = d.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.first("m").alias("m")).orderBy("pattern").limit(MAX_PATTERNS + 1).collect()
+    chance = lambda n: F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("crc"), F.lit(n)), 11) / F.lit(float(1 << 53))
+    d = materialize(d.select("doc_id", "size", "pattern", "m", chance(seed).alias("u"), chance(seed + 1).alias("lot"), *[f"keep_{c}" for c in keep]), "mix-sizes")
+    found = d.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("m").alias("m")).orderBy("pattern").limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     sizes: dict[str | None, int] = {}
@@ -192,24 +207,42 @@ def mix_documents(documents: DataFrame, members: F.Column, repeats: int = 2, see
     names = sorted((s for s in want if s is not None)) + [None] * (None in want)
     at = {s: i for i, s in enumerate(names)}
     flow = min_cost_flow([r["size"] for r in found], [[at[s] for s in r["m"]] for r in found], [round(want[s]) for s in names], repeats)
-    plan = []
+    # lots of a pattern: sources with their words, and where each lot of the hash ends
+    lots = []
     for r, f in zip(found, flow, strict=True):
-        total = sum(f)
-        whole, rest = divmod(total, r["size"]) if r["size"] else (0, 0)
-        first = r["m"][0] if r["m"] else None
-        plan.append((r["pattern"], sizes.get(first, 0), float(want.get(first, 0.0)), int(whole), int(rest), r["n"]))
-    table = spark.createDataFrame(plan, "pattern string, source_size long, target double, whole int, want long, n long")
-    drawn = draw(d.drop("m"), table.select("pattern", "want", "n"))
-    out = drawn.join(F.broadcast(table.select("pattern", "source_size", "target", "whole")), "pattern")
+        total, ends, left = sum(f), [], 0
+        for s in r["m"]:
+            if f[at[s]]:
+                left += f[at[s]]
+                ends.append((left / total, s, f[at[s]]))
+        ends = ends or [(1.0, r["m"][0] if r["m"] else None, 0)]
+        ends[-1] = (1.0, *ends[-1][1:])
+        lots += [(r["pattern"], low, high, f"{r['pattern']} {k}", s, sizes.get(s, 0), float(want.get(s, 0.0)), words) for k, (low, (high, s, words)) in enumerate(zip([0.0] + [e[0] for e in ends], ends, strict=False))]
+    table = spark.createDataFrame(lots, "p string, low double, high double, line string, source string, source_size long, target double, words long")
+    # a row for each pattern and source of it; MAX_PATTERNS bounds them
+    dealt = d.drop("m").join(F.broadcast(table.select("p", "low", "high", "line")), (F.col("pattern") == F.col("p")) & (F.col("lot") >= F.col("low")) & (F.col("lot") < F.col("high"))).drop("p", "low", "high", "lot")
+    dealt = dealt.withColumnRenamed("pattern", "members").withColumnRenamed("line", "pattern")
+    held = {r["pattern"]: (r["size"], r["n"]) for r in dealt.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
+    plan = []
+    for _, _, _, line, source, source_size, target, words in lots:
+        size, n = held.get(line, (0, 0))
+        whole, rest = divmod(min(words, repeats * size), size) if size else (0, 0)
+        plan.append((line, source, source_size, target, int(whole), int(rest), n))
+    table = spark.createDataFrame(plan, "pattern string, source string, source_size long, target double, whole int, want long, n long")
+    drawn = draw(dealt, table.select("pattern", "want", "n"))
+    out = drawn.join(F.broadcast(table.select("pattern", "source", "source_size", "target", "whole")), "pattern")
     copies = F.col("whole") + F.when(F.col("whole") < repeats, F.col("extra")).otherwise(0)
     out = out.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("int"))
-    return out.select(*[F.col(f"keep_{c}").alias(c) for c in keep], "doc_id", "size", "pattern", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
+    return out.select(*[F.col(f"keep_{c}").alias(c) for c in keep], "doc_id", "size", F.col("members").alias("pattern"), "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
 
 
-def mix_rows(documents: DataFrame, source: str = "source", repeats: int = 2, seed: int = 2024) -> DataFrame:
+def mix_rows(documents: DataFrame, source: str = "source", repeats: int = 2, seed: int = 2024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The mix itself: each row of documents as often as the mix takes it, with all its
-    columns."""
+    columns, whatever their names. Null sources are a source; null and wordless texts are
+    never taken; repeated rows are each drawn for themselves. Empty table: no rows."""
     names = documents.columns
-    mixed = mix_documents(documents, F.array(F.col(source)), repeats, seed, keep=tuple(names))
-    mixed = mixed.toDF(*[f"k{i}" for i in range(len(names))], "id", "size", "pattern", "source_size", "target", "copies", "taken").where("copies > 0")
-    return mixed.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).drop("__copy")
+    inner = tuple(f"c{i}" for i in range(len(names)))
+    d = documents.toDF(*inner)
+    mixed = mix_documents(d, F.array(F.col(inner[names.index(source)])), repeats, seed, inner[names.index(doc_id)], inner[names.index(text)], inner)
+    mixed = mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return mixed.select(*inner).toDF(*names)

@@ -22,7 +22,7 @@ def op2_mix_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_documents
 
     mixed = mix_documents(_table(spark, sf_dir, "documents"), F.array("source"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
 def op3_gru_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

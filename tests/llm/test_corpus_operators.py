@@ -285,3 +285,47 @@ def test_relaxed_search_prunes_and_keeps_recall(spark):
     hit = sum(r["vec_id"] in set(np.argsort(-s[r["query_id"]])[:5].tolist()) for r in got)
     assert len(got) == 60 * 5 and hit >= 0.9 * len(got)
     assert all(r["score"] == pytest.approx(s[r["query_id"], r["vec_id"]], abs=1e-12) for r in got)
+
+
+def test_mixing_of_overlapping_sources(spark):
+    """Words reach the sources that the flow gives them to; the flow is the best there is."""
+    import random
+
+    r = random.Random(8)
+    kinds = [["a"], ["a", "b"], ["b"], ["b", "c"], [None, "c"]]
+    rows = [(i, " ".join(["w"] * r.randrange(1, 30)), kinds[r.randrange(5) if i % 3 else 1]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, member array<string>").repartition(4)
+    got = mixing.mix_documents(df, F.col("member")).collect()
+    of = {i: set(m) for i, _, m in rows}
+    assert len(got) == len(rows) and all(x["source"] in of[x["doc_id"]] for x in got)
+    taken, target, size, capacity = Counter(), {}, Counter(), Counter()
+    for x in got:
+        taken[x["source"]] += x["taken"]
+        target[x["source"]] = x["target"]
+        assert x["taken"] == x["copies"] * x["size"] and x["copies"] <= 2
+        capacity[frozenset(of[x["doc_id"]])] += x["size"]
+        for s in of[x["doc_id"]]:
+            size[s] += x["size"]
+    assert all(x["source_size"] == size[x["source"]] for x in got)
+    # the words of each pattern and source are those of the flow
+    names = sorted(s for s in size if s) + [None]
+    sets = list(capacity)
+    flow = mixing.min_cost_flow([capacity[m] for m in sets], [sorted(names.index(s) for s in m) for m in sets], [round(mixing.targets(size)[s]) for s in names], 2)
+    for s, j in ((s, names.index(s)) for s in names):
+        routed = sum(f[j] for f in flow)
+        assert abs(taken[s] - routed) <= 0.02 * routed + 60 and routed <= target.get(s, 0) + 1
+    # no more can be met: for each set of sources, its patterns' words twice bound their quotas
+    from itertools import combinations
+
+    want = mixing.targets(size)
+    best = min(sum(want[s] for s in want if s not in part) + 2 * sum(c for m, c in capacity.items() if m & set(part)) for n in range(len(want) + 1) for part in combinations(want, n))
+    assert abs(sum(taken.values()) - best) <= 0.02 * best
+
+
+def test_flow_over_many_patterns():
+    rng = np.random.default_rng(9)
+    members = [sorted(rng.choice(12, rng.integers(1, 4), replace=False).tolist()) for _ in range(20_000)]
+    capacity = rng.integers(0, 1000, 20_000).tolist()
+    quota = (np.array([sum(c for c, m in zip(capacity, members, strict=True) if j in m) for j in range(12)]) // 2).tolist()
+    f = mixing.min_cost_flow(capacity, members, quota, 2)
+    assert [sum(x[j] for x in f) for j in range(12)] == quota and all(sum(x) <= 2 * c for x, c in zip(f, capacity, strict=True))
