@@ -1,9 +1,10 @@
 """Token files: a wavelet matrix per shard.
 
-File: the magic, a JSON header (length-prefixed) and one zstandard frame a bit-plane, the
-highest bit first, then the documents' first positions and ids. A plane holds a bit for each
-token, tokens ordered by the bits above (zeros before ones, in place), with the ones counted
-before every 512 bits: rank is a look-up and a few popcounts, select a search in the counts.
+File: the magic, a JSON header (length-prefixed), an index, the documents' first positions and
+ids, and the bit-planes, the highest bit first. A plane holds a bit for each token, tokens
+ordered by the bits above (zeros before ones, in place), in blocks of BLOCK bits that are
+compressed one by one. The index has each block's place and the ones before it, so rank reads
+one block of a plane and select one more look-up; access, count and find never unpack a plane.
 """
 
 from __future__ import annotations
@@ -20,9 +21,13 @@ from pyspark.sql import Window as W
 from .bpe import encoder
 from .common import materialize, steps, trimmed, utf8, work_path
 
-MAGIC = b"LLWM0001"
-_BLOCK = 512
-_ONES = np.array([bin(x).count("1") for x in range(256)], np.uint16)
+MAGIC = b"LLWM0002"
+#: Bits of a block.
+BLOCK = 1 << 15
+#: Blocks that a reader keeps unpacked.
+KEEP = 256
+#: Bytes of text of one writing task.
+RANGE_BYTES = 1 << 26
 
 
 def build(tokens: np.ndarray, starts: np.ndarray, docs: list[str | None], bits: int | None = None) -> bytes:
@@ -30,73 +35,112 @@ def build(tokens: np.ndarray, starts: np.ndarray, docs: list[str | None], bits:
     import zstandard
 
     tokens = np.asarray(tokens, np.uint32)
+    n = len(tokens)
     need = max(1, int(tokens.max(initial=0)).bit_length())
     bits = max(bits or 1, need)
     pack = zstandard.ZstdCompressor(level=1)
-    planes, zeros = [], []
+    blocks = -(-n // BLOCK)
+    parts, zeros, ranks, places, at = [], [], [], [0], 0
     now = tokens.astype(np.uint16) if bits <= 16 else tokens
     for k in range(bits - 1, -1, -1):
         ones = (now & now.dtype.type(1 << k)) != 0
-        planes.append(pack.compress(np.packbits(ones, bitorder="little").tobytes()))
+        plane = memoryview(np.packbits(ones, bitorder="little").tobytes())
+        before = np.add.reduceat(ones, np.arange(0, n, BLOCK), dtype=np.int64) if n else np.zeros(0, np.int64)
+        ranks.append(np.concatenate([[0], np.cumsum(before)]))
+        for i in range(0, blocks * (BLOCK // 8), BLOCK // 8):
+            raw = plane[i : i + BLOCK // 8]
+            small = pack.compress(raw)
+            parts.append(small if len(small) < len(raw) else raw)
+            at += len(parts[-1])
+            places.append(at)
         left = now[~ones]
         zeros.append(len(left))
         now = np.concatenate([left, now[ones]])
+    index = np.concatenate([*ranks, places]).astype("<i8").tobytes()
     tail = pack.compress(np.asarray(starts, "<i8").tobytes()), pack.compress(json.dumps(docs).encode())
-    head = json.dumps({"n": len(tokens), "bits": bits, "zeros": zeros, "planes": [len(p) for p in planes], "tail": [len(p) for p in tail]}).encode()
-    return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *planes, *tail])
+    head = json.dumps({"n": n, "bits": bits, "zeros": zeros, "block": BLOCK, "tail": [len(p) for p in tail]}).encode()
+    return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, index, *tail, *parts])
 
 
 class WaveletMatrix:
-    """Token access, counting and occurrence look-up in one file's bytes."""
+    """Token access, counting and occurrence look-up in one file.
 
-    def __init__(self, data: bytes):
+    data: the file's bytes, or a function (offset, size) -> bytes that reads from it; then
+    only the header, the index and the blocks asked for are ever read."""
+
+    def __init__(self, data):
         import zstandard
 
-        if data[:8] != MAGIC:
+        self.read = data if callable(data) else lambda at, size: data[at : at + size]
+        start = self.read(0, 12)
+        if start[:8] != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        size = int.from_bytes(data[8:12], "little")
-        head = json.loads(data[12 : 12 + size])
-        self.n, self.bits, self.zeros = head["n"], head["bits"], head["zeros"]
-        unpack, at = zstandard.ZstdDecompressor(), 12 + size
-        parts = []
-        for k in head["planes"] + head["tail"]:
-            parts.append(unpack.decompress(data[at : at + k], max_output_size=max(1, self.n // 8 + 64) if len(parts) < len(head["planes"]) else 0))
-            at += k
-        self.planes = [np.frombuffer(p, np.uint8) for p in parts[: len(head["planes"])]]
-        self.starts = np.frombuffer(parts[-2], "<i8")
-        self.docs = json.loads(parts[-1])
-        self.counts = None
-
-    def _ranks(self):
-        if self.counts is None:
-            self.counts = []
-            for p in self.planes:
-                ones = np.add.reduceat(_ONES[p], np.arange(0, len(p), _BLOCK // 8)) if len(p) else np.zeros(0, np.int64)
-                self.counts.append(np.concatenate([[0], np.cumsum(ones, dtype=np.int64)]))
-        return self.counts
+        size = int.from_bytes(start[8:12], "little")
+        head = json.loads(self.read(12, size))
+        self.n, self.bits, self.zeros, self.block, self.tail = head["n"], head["bits"], head["zeros"], head["block"], head["tail"]
+        self.blocks = -(-self.n // self.block)
+        k = self.bits * (self.blocks + 1) + self.bits * self.blocks + 1
+        index = np.frombuffer(self.read(12 + size, 8 * k), "<i8")
+        self.ranks = index[: self.bits * (self.blocks + 1)].reshape(self.bits, self.blocks + 1)
+        self.places = index[self.bits * (self.blocks + 1) :]
+        self.tails_at = 12 + size + 8 * k
+        self.base = self.tails_at + sum(self.tail)
+        self.unpack = zstandard.ZstdDecompressor()
+        self.held: dict[tuple[int, int], bytes] = {}
+
+    def _tail(self, i: int) -> bytes:
+        return self.unpack.decompress(self.read(self.tails_at + sum(self.tail[:i]), self.tail[i]))
+
+    @property
+    def starts(self) -> np.ndarray:
+        """First positions of the documents."""
+        return np.frombuffer(self._tail(0), "<i8")
+
+    @property
+    def docs(self) -> list[str | None]:
+        """Ids of the documents as text."""
+        return json.loads(self._tail(1))
+
+    def _opened(self, block: int, data: bytes) -> bytes:
+        """A block's bits, given what the file holds of it."""
+        raw = -(-min(self.block, self.n - block * self.block) // 8)
+        return bytes(data) if len(data) == raw else self.unpack.decompress(data)
+
+    def _bits(self, k: int, block: int) -> bytes:
+        """The bits of one block of plane k."""
+        got = self.held.get((k, block))
+        if got is None:
+            a, b = self.places[k * self.blocks + block : k * self.blocks + block + 2].tolist()
+            if len(self.held) >= KEEP:
+                self.held.clear()
+            got = self.held[k, block] = self._opened(block, self.read(self.base + a, b - a))
+        return got
 
     def _rank1(self, k: int, i: int) -> int:
         """Ones in plane k before position i."""
-        block = i // _BLOCK
-        whole = i // 8
-        p = self.planes[k]
-        n = int(self._ranks()[k][block]) + int(_ONES[p[block * (_BLOCK // 8) : whole]].sum())
-        return n + (int(_ONES[p[whole] & ((1 << i % 8) - 1)]) if i % 8 else 0)
+        block, within = divmod(i, self.block)
+        n = int(self.ranks[k, block])
+        if within:
+            bits = self._bits(k, block)
+            n += int.from_bytes(bits[: within // 8], "little").bit_count()
+            n += (bits[within // 8] & ((1 << within % 8) - 1)).bit_count() if within % 8 else 0
+        return n
 
     def _select(self, k: int, bit: int, j: int) -> int:
         """Position of the j-th (from 0) bit of that value in plane k."""
-        ranks = self._ranks()[k]
-        per = ranks if bit else np.minimum(np.arange(len(ranks)) * _BLOCK, self.n) - ranks
+        ranks = self.ranks[k]
+        per = ranks if bit else np.minimum(np.arange(len(ranks)) * self.block, self.n) - ranks
         block = int(np.searchsorted(per, j, side="right")) - 1
-        ones = np.unpackbits(self.planes[k][block * (_BLOCK // 8) : (block + 1) * (_BLOCK // 8)], bitorder="little")
-        return block * _BLOCK + int(np.flatnonzero(ones == bit)[j - int(per[block])])
+        bits = np.unpackbits(np.frombuffer(self._bits(k, block), np.uint8), bitorder="little")
+        return block * self.block + int(np.flatnonzero(bits == bit)[j - int(per[block])])
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
         for k in range(self.bits):
-            bit = int(self.planes[k][i // 8] >> (i % 8) & 1)
+            block, within = divmod(i, self.block)
+            bit = self._bits(k, block)[within // 8] >> (within % 8) & 1
             value = value << 1 | bit
             ones = self._rank1(k, i)
             i = self.zeros[k] + ones if bit else i - ones
@@ -131,7 +175,10 @@ class WaveletMatrix:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         now = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
-            ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
+            at = self.places[k * self.blocks : (k + 1) * self.blocks + 1].tolist()
+            data = memoryview(self.read(self.base + at[0], at[-1] - at[0]))
+            plane = b"".join(self._opened(i, data[a - at[0] : b - at[0]]) for i, (a, b) in enumerate(zip(at, at[1:], strict=False)))
+            ones = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n, bitorder="little").view(bool)
             z = self.zeros[k]
             out = np.empty_like(now)
             out[~ones] = now[:z]
@@ -156,9 +203,10 @@ def write_tokens(documents: DataFrame, folder: str, path: str, end_id: int = 2,
     is written under a name of its attempt and then moved, so a repeated task does no harm.
     """
     d = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    d = d.withColumn("__h", F.xxhash64("text"))
-    n = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    d = d.repartitionByRange(n, "doc_id", "__h").sortWithinPartitions("doc_id", "__h").select("doc_id", "text")
+    d = d.withColumn("h", F.xxhash64("text"))
+    held = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // RANGE_BYTES))
+    d = d.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -214,11 +262,11 @@ def read_tokens(spark, folder: str, files: DataFrame, id_type: str = "bigint") -
         for batch in batches:
             for i in range(batch.num_rows):
                 m = WaveletMatrix(batch.column(1)[i].as_py())
-                tokens = m.tokens().astype("<u4")
-                ends = np.append(m.starts[1:], m.n)
-                crc = [zlib.crc32(tokens[a:b].tobytes()) for a, b in zip(m.starts, ends, strict=True)]
-                k = len(m.docs)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * k, pa.string()), pa.array(m.docs, pa.string()), pa.array(m.starts, pa.int64()), pa.array(ends - m.starts, pa.int64()), pa.array(crc, pa.int64())], ["name", "doc", "at", "n_tokens", "ids_crc32"])
+                tokens, starts, docs = m.tokens().astype("<u4"), m.starts, m.docs
+                ends = np.append(starts[1:], m.n)
+                crc = [zlib.crc32(tokens[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                k = len(docs)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * k, pa.string()), pa.array(docs, pa.string()), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], ["name", "doc", "at", "n_tokens", "ids_crc32"])
 
     name = F.element_at(F.split("path", "/"), -1)
     got = data.select(name.alias("name"), "content").mapInArrow(trimmed(run), "name string, doc string, at long, n_tokens long, ids_crc32 long")
@@ -229,7 +277,8 @@ def token_files(documents: DataFrame, path: str, end_id: int = 2, folder: str |
     """Write documents as wavelet-matrix files and return what reading them gives back.
 
     A null or empty text is its end id alone. Null ids come first; repeated ids follow each
-    other in order of their texts' hashes. Empty table: no files and no rows.
+    other in order of their texts' hashes; repeated rows stay in one file range. Empty table:
+    no files and no rows. Other columns are not read, whatever their names.
     """
     spark = documents.sparkSession
     folder = folder or work_path(spark, "wavelet")

@@ -329,3 +329,32 @@ def test_flow_over_many_patterns():
     quota = (np.array([sum(c for c, m in zip(capacity, members, strict=True) if j in m) for j in range(12)]) // 2).tolist()
     f = mixing.min_cost_flow(capacity, members, quota, 2)
     assert [sum(x[j] for x in f) for j in range(12)] == quota and all(sum(x) <= 2 * c for x, c in zip(f, capacity, strict=True))
+
+
+def test_token_files_answer_without_unpacking(spark, docs, tmp_path):
+    """Access, count and find on the written files against the tokenizer's own ids, reading
+    blocks by place."""
+    wavelet.token_files(docs, BYTE, folder=f"file://{tmp_path}/w").count()
+    want = Counter(ids_of(BYTE, r["text"], 2).tobytes() for r in docs.collect())
+    seen = 0
+    for path in sorted((tmp_path / "w").glob("part-*.wm")):
+        data, asked = path.read_bytes(), []
+        m = wavelet.WaveletMatrix(lambda at, size: asked.append(size) or data[at : at + size])
+        starts = m.starts.tolist()
+        for a, b in zip(starts, [*starts[1:], m.n], strict=True):
+            if b - a < 300:
+                ids = np.array([m.access(i) for i in range(a, b)], "<u4")
+                want[ids.tobytes()] -= 1
+                assert m.count(2, a, b) == 1 and m.count(int(ids[0]), a, b) == int((ids == ids[0]).sum())
+                seen += 1
+        assert m.find(2, len(starts) - 1) == m.n - 1
+    assert seen > 40 and min(want.values()) >= 0
+
+
+def test_access_reads_one_block_a_plane():
+    a = np.random.default_rng(1).integers(0, 50_000, 300_000)
+    data, asked = wavelet.build(a, np.zeros(1, np.int64), ["1"]), []
+    m = wavelet.WaveletMatrix(lambda at, size: asked.append(size) or data[at : at + size])
+    asked.clear()
+    assert m.access(123_456) == a[123_456]
+    assert len(asked) <= m.bits and sum(asked) < len(data) / 8
