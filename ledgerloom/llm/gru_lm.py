@@ -30,7 +30,7 @@ BANDS = 4
 #: A near word with a count up to this is in the last band, with words never seen: what is
 #: rare in training texts stands for what is new in others.
 RARE = 8
-HIDDEN = 24
+HIDDEN = 16
 #: Words whose counts are broadcast for direct look-up (16 bytes each); others are joined.
 NEAR = 200_000
 #: Shares of the training documents that are learned one after the other, each document once.
