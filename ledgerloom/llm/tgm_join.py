@@ -30,6 +30,8 @@ GROUP = 128
 GROUP_SHINGLES = 1_000_000
 #: A shingle that so many documents of the sample hold is hot.
 HOT = 64
+#: Bits of the map that keeps most unwanted texts out of a shuffle (8 MB, whatever the input).
+MARKS = 1 << 26
 #: One document in so many is counted for the order of rarity, and so many shingles ranked.
 SAMPLE_ONE_IN = 16
 RANKED = 1_000_000
@@ -345,21 +347,29 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85,
                     seen.add(keys[i])
                     c.append(keys[i])
                     out.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(out, pa.binary())], ["cls", "set"])
-
-    found = texts.select("text", F.xxhash64("doc_id", "text").alias("tk")).join(wanted, "tk").select("cls", "text").mapInArrow(trimmed(run), "cls long, set binary")
-    sets = materialize(found, "tgm-sets")
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(out, pa.binary())], ["tk", "set"])
+
+    # the texts of wanted rows, and some more: what a bitmap of MARKS bits lets through
+    wanted = materialize(wanted, "tgm-wanted")
+    cell, place = F.shiftright(F.col("tk").bitwiseAND(F.lit(MARKS - 1)), 15), F.col("tk").bitwiseAND(F.lit((1 << 15) - 1))
+    marks = wanted.groupBy(cell.alias("cell")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    some = texts.select("text", F.xxhash64("doc_id", "text").alias("tk")).withColumn("cell", cell).join(F.broadcast(marks), "cell")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    some = some.where(F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1)
+    found = some.select("tk", "text").mapInArrow(trimmed(run), "tk long, set binary")
+    sets = materialize(found.join(wanted, "tk").select("cls", "set"), "tgm-sets")
     own = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("gid", "part", "cls")
     own = own.join(sets, "cls").select("gid", "part", F.lit(0).alias("kind"), (F.col("part") == 0).alias("first"), "cls", "set")
     come = visits.join(size, "gid").select("gid", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), "cls")
     come = come.join(sets, "cls").select("gid", "part", F.lit(1).alias("kind"), F.lit(False).alias("first"), "cls", "set")
     at = own.unionByName(come).repartition("gid", "part").sortWithinPartitions("gid", "part", "kind")
     roots = components(at.mapInArrow(_verify(percent), "a long, b long"))
-    release(cls, big, live, visits, size, sets)
+    release(cls, big, live, visits, size, wanted, sets)
     least = docs.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    named = least.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    by_root = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(by_root, "root").select("cls", "component")
+    linked = roots.withColumnRenamed("node", "cls").join(least, "cls")
+    by_root = materialize(linked.groupBy("root").agg(F.min("least").alias("component")), "tgm-components")
+    linked = linked.join(by_root, "root").select("cls", "component")
+    named = least.join(linked, "cls", "left").select("cls", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"))
     return docs.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
