@@ -27,10 +27,11 @@ class AgingSchedule:
     as_of: str
     aged: DataFrame  # rule_id, entry_id, first_seen, age_months, bucket
     n_not_yet_posted: int
+    buckets: tuple[int, ...] = (0, 1, 2, 3)
 
     def by_rule(self) -> DataFrame:
         """A row a rule with aged flags, a column a bucket; counts are of flags."""
-        labels = bucket_labels()
+        labels = bucket_labels(self.buckets)
         return self.aged.groupBy("rule_id").pivot("bucket", labels).count().na.fill(0, labels)
 
     def by_bucket(self) -> DataFrame:
@@ -53,5 +54,7 @@ def age_exceptions(flags: DataFrame, ledger: Ledger, as_of: str | None = None, b
         if as_of is None:
             raise ValueError("an empty ledger has no period to age to")
     every = aged_flags(flags, ledger.entries, as_of, buckets)
+    if tuple(buckets) != tuple(sorted(set(buckets))) or not buckets or buckets[0] != 0:
+        raise ValueError("buckets rise from zero")
     later = every.where("age_months < 0").count()
-    return AgingSchedule(as_of, every.where("age_months >= 0"), later)
+    return AgingSchedule(as_of, every.where("age_months >= 0"), later, tuple(buckets))

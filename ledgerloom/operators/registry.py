@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Ledger
+from ..model import Ledger, enrich
 from . import rules as R
 from .drift import ProfileDrift
 
@@ -48,10 +48,14 @@ def evaluate_all(ledger: Ledger, rules: list[R.Rule] | None = None) -> tuple[Dat
     (rule_id, applicable, reason, population_size). A refusal is a result, not an error."""
     spark = ledger.entries.sparkSession
     rules = default_rules() if rules is None else rules
-    status = []
-    for r in rules:
-        ok, why = r.applicable(ledger)
-        status.append((r.rule_id, ok, why, r.population_size(ledger) if ok else 0))
+    said = [r.applicable(ledger) for r in rules]
+    # the sizes of populations that are conditions on entries, in one pass over these
+    plain = [i for i, (r, (ok, _)) in enumerate(zip(rules, said, strict=True)) if ok and type(r).population is R.Rule.population and type(r).population_size is R.Rule.population_size]
+    sizes = {}
+    if plain:
+        got = enrich(ledger.entries).agg(*[F.count_if(rules[i].in_population(ledger)).alias(f"n{i}") for i in plain]).first()
+        sizes = {i: got[f"n{i}"] for i in plain}
+    status = [(r.rule_id, ok, why, sizes[i] if i in sizes else r.population_size(ledger) if ok else 0) for i, (r, (ok, why)) in enumerate(zip(rules, said, strict=True))]
     flags = [r.evaluate(ledger) for r, s in zip(rules, status, strict=True) if s[1]]
     none = spark.createDataFrame([], "rule_id string, entry_id string, rationale string, details string")
     return reduce(DataFrame.unionByName, flags, none), spark.createDataFrame(status, "rule_id string, applicable boolean, reason string, population_size long")

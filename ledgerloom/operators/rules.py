@@ -8,7 +8,6 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import calendar as cal
 from ..functions.text import cents_to_str, reference_match, reference_tokens, similarity, stripped
@@ -48,7 +47,11 @@ class Rule:
         return True, ""
 
     def population(self, ledger: Ledger) -> DataFrame:
-        return enrich(ledger.entries)
+        return enrich(ledger.entries).where(self.in_population(ledger))
+
+    def in_population(self, ledger: Ledger):
+        """A condition on enriched entries; population() filters by it."""
+        return F.lit(True)
 
     def population_size(self, ledger: Ledger) -> int:
         return self.population(ledger).count()
@@ -119,9 +122,8 @@ class WeekendHoliday(Rule):
     def __init__(self, exclude_sources: tuple[str, ...] = ()):
         self.exclude_sources = tuple(exclude_sources)
 
-    def population(self, ledger):
-        e = enrich(ledger.entries)
-        return e.where(~F.col("source").isin(*self.exclude_sources)) if self.exclude_sources else e
+    def in_population(self, ledger):
+        return ~F.col("source").isin(*self.exclude_sources) if self.exclude_sources else F.lit(True)
 
     def flags(self, ledger):
         lo, hi = ledger.entries.agg(F.min("posting_date"), F.max("posting_date")).first()
@@ -144,8 +146,8 @@ class RoundAmount(Rule):
             raise ValueError("the unit is positive")
         self.round_to_cents, self.min_cents = round_to_cents, min_cents
 
-    def population(self, ledger):
-        return enrich(ledger.entries).where(F.col("amount_cents") >= self.min_cents)
+    def in_population(self, ledger):
+        return F.col("amount_cents") >= self.min_cents
 
     def flags(self, ledger):
         p = self.population(ledger).where(F.col("amount_cents") % self.round_to_cents == 0)
@@ -165,10 +167,9 @@ class BelowThreshold(Rule):
         ok = _threshold(self, ledger) is not None
         return ok, "" if ok else "no approval threshold is declared"
 
-    def population(self, ledger):
+    def in_population(self, ledger):
         t = _threshold(self, ledger)
-        e = enrich(ledger.entries)
-        return e.where(F.col("amount_cents") < t) if t is not None else e.where("false")
+        return F.col("amount_cents") < t if t is not None else F.lit(False)
 
     def flags(self, ledger):
         t = _threshold(self, ledger)
@@ -212,7 +213,10 @@ class DormantAccount(Rule):
         e = enrich(ledger.entries)
         last = ledger.accounts.select("account_id", "name", "active", F.col("last_activity_before_range").alias("last")).where("not active or last is not null")
         hit = e.select("entry_seq", "entry_id", "posting_date", F.explode("account_ids").alias("account_id")).join(F.broadcast(last), "account_id")
-        first = F.row_number().over(W.partitionBy("account_id").orderBy("entry_seq", "entry_id")) == 1
+        # a row for each dormant account at most, and those are of the chart
+        opened = hit.groupBy("account_id").agg(F.min(F.struct("entry_seq", "entry_id")).alias("opened"))
+        hit = hit.join(F.broadcast(opened), "account_id")
+        first = F.struct("entry_seq", "entry_id") == F.col("opened")
         days = F.datediff("posting_date", "last")
         stale = first & (days > self.dormant_days)
         hit = hit.withColumn("stale", F.coalesce(stale, F.lit(False))).where("not active or stale")
@@ -255,10 +259,9 @@ class Approval(Rule):
 
     applicable = BelowThreshold.applicable
 
-    def population(self, ledger):
+    def in_population(self, ledger):
         t = _threshold(self, ledger)
-        e = enrich(ledger.entries)
-        return e.where((F.col("source") == "GL") | (F.col("amount_cents") >= t)) if t is not None else e.where("false")
+        return (F.col("source") == "GL") | (F.col("amount_cents") >= t) if t is not None else F.lit(False)
 
     def flags(self, ledger):
         p = self.population(ledger)
@@ -328,9 +331,9 @@ class _Payables(Rule):
             return False, "no source document is an invoice"
         return True, ""
 
-    def population(self, ledger):
+    def in_population(self, ledger):
         kind = F.col("document.doc_type")
-        return enrich(ledger.entries).where(F.col("document").isNotNull() & (F.lit(self.include_credit_memos) | (kind == "invoice")))
+        return F.col("document").isNotNull() & (F.lit(self.include_credit_memos) | (kind == "invoice"))
 
     def documents(self, ledger: Ledger) -> DataFrame:
         return self.population(ledger).select("entry_id", "posting_date", "amount_cents", F.col("document.party_id").alias("vendor_id"), F.col("document.reference").alias("reference"), F.col("document.doc_date").alias("doc_date"))
@@ -346,7 +349,9 @@ class DocumentKey(_Payables):
         self.allow_transposed, self.window_days = allow_transposed, window_days
 
     def flags(self, ledger):
-        p = band_pairs(self.documents(ledger), ["vendor_id", "amount_cents"], "posting_date", self.window_days, carry=["vendor_id", "reference", "amount_cents"])
+        # equal and transposed references hold the same characters, so these join as well
+        d = self.documents(ledger).withColumn("letters", F.array_join(F.array_sort(F.split("reference", "")), ""))
+        p = band_pairs(d, ["vendor_id", "amount_cents", "letters"], "posting_date", self.window_days, carry=["vendor_id", "reference", "amount_cents"])
         p = p.withColumn("match", reference_match(F.col("a_reference"), F.col("b_reference"), self.allow_transposed)).where("match <> ''")
         g = partners(p, ["posting_date", "entry_id"], {"basis": F.col("match"), "vendor_id": F.col("a_vendor_id"), "reference": F.col("a_reference"), "amount_cents": F.col("a_amount_cents"), "posting_gap_days": F.abs(F.datediff("a_posting_date", "b_posting_date"))})
         how = F.when(F.col("basis") == "exact", " with the same reference").otherwise(" with two digits of the reference swapped")

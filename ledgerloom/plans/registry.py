@@ -92,12 +92,10 @@ def r007(spark, d):
 
 
 @query("""
-, seen AS (SELECT dr, cr, count(*) AS k FROM entry GROUP BY dr, cr HAVING count(*) <= (SELECT CASE WHEN count(*) > 30000 THEN 120 ELSE 12 END FROM entry))
+, seen AS (SELECT dr, cr, count(*) AS k FROM entry GROUP BY dr, cr HAVING count(*) <= 120 AND (SELECT count(*) FROM entry) >= 500)
 SELECT entry_id, dr || '/' || cr AS pairs FROM entry JOIN seen USING (dr, cr)""")
 def r008(spark, d):
-    ledger = views.gl(spark, d)
-    rule = R.RarePairing(120 if ledger.entries.count() > 30_000 else 12, 500)
-    return rule.flags(ledger).select("entry_id", F.array_join(F.transform("pairs", lambda p: F.array_join(p, "/")), ",").alias("pairs"))
+    return R.RarePairing(120, 500).flags(views.gl(spark, d)).select("entry_id", F.array_join(F.transform("pairs", lambda p: F.array_join(p, "/")), ",").alias("pairs"))
 
 
 @query("""

@@ -18,12 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str], bucket) -> DataFrame:
-    """Adds n = 1.. in the order of columns whose first decides the bucket. Counts of buckets
-    give offsets, so rows are numbered inside their bucket and never meet in one task."""
+    """Adds n = 1.. in the order of columns whose first decides the bucket, a number that does
+    not fall along the order. Counts of buckets give offsets, inside blocks of 4096 buckets
+    and between blocks, so neither rows nor buckets ever meet in one task."""
     r = rows.withColumn("__b", bucket)
-    counts = r.groupBy("__b").agg(F.count("*").alias("__c"))
-    before = W.partitionBy(F.lit(1)).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("__b", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"))
+    counts = r.groupBy("__b").agg(F.count("*").alias("__c")).withColumn("__block", F.shiftright("__b", 12))
+    before = lambda by, order: W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    blocks = counts.groupBy("__block").agg(F.sum("__c").alias("__c"))
+    blocks = blocks.select("__block", F.coalesce(F.sum("__c").over(before(F.lit(1), "__block")), F.lit(0)).alias("__far"))
+    inner = counts.select("__b", "__block", F.coalesce(F.sum("__c").over(before("__block", "__b")), F.lit(0)).alias("__near"))
+    offsets = inner.join(blocks, "__block").select("__b", (F.col("__near") + F.col("__far")).alias("__o"))
     inside = F.row_number().over(W.partitionBy("__b").orderBy(*order))
     return r.withColumn("__i", inside).join(offsets, "__b").withColumn("n", F.col("__i") + F.col("__o")).drop("__b", "__i", "__o")
 
@@ -33,8 +37,10 @@ def gl_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(*_ORDER, "l_quantity", "l_discount", "l_tax", "l_returnflag")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    # every line has its order and part, so lines are numbered alone; a join that no rule's
+    # columns need is still made, for a line without a partner would be no entry
+    li = numbered(li, _ORDER, F.floor(F.col("l_orderkey") / 4096))
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
-    j = numbered(j, _ORDER, F.floor(F.col("l_orderkey") / 4096))
     user = lambda c: F.concat(F.lit("U-"), F.lpad((c % 12).cast("string"), 2, "0"))
     debit = F.when(F.col("l_returnflag") == "R", (F.col("l_quantity") * 100000).cast("bigint")).otherwise(F.round(F.col("l_extendedprice") * 100).cast("bigint"))
     source = F.when(F.col("o_orderpriority") == "1-URGENT", "GL").when(F.col("o_orderpriority") == "2-HIGH", "AP").when(F.col("o_orderpriority") == "3-MEDIUM", "AR").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "REV").otherwise("SYS")

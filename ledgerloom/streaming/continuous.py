@@ -34,11 +34,12 @@ def record_flags(entries: DataFrame, ledger: Ledger) -> DataFrame:
 
 
 def month_counts(entries: DataFrame, lateness: str = "45 days") -> DataFrame:
-    """(month, source, k): entries by posting month, late ones within the watermark."""
-    e = enrich(entries).withColumn("posted", F.to_timestamp("posting_date")).withWatermark("posted", lateness)
-    month = F.window("posted", "1 day").alias("w")
-    daily = e.groupBy(month, "source").agg(F.count("*").alias("k"))
-    return daily.select(F.date_format("w.start", "yyyy-MM").alias("month"), "source", "k")
+    """(month, source, k): a row for each posting month and source, late entries within the
+    watermark. The month's first instant is its event time, so a month closes once the
+    watermark has passed it, which is lateness after the first entry of a later month."""
+    e = enrich(entries).withColumn("month_start", F.date_trunc("month", F.to_timestamp("posting_date"))).withWatermark("month_start", lateness)
+    monthly = e.groupBy("month_start", "source").agg(F.count("*").alias("k"))
+    return monthly.select(F.date_format("month_start", "yyyy-MM").alias("month"), "source", "k")
 
 
 def against_baseline(counts: DataFrame, baseline: DataFrame) -> DataFrame:
