@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import EXCEPTION, INCONCLUSIVE, PASS, Decision
 from ..model import Ledger
+from ..operators import profile
 from ..operators.benford import Benford
 from ..operators.card import ReportCard
+from ..operators.drift import DriftParams
 from ..operators.rules import REFERENCES, Rule
 from ..operators.sampling import BRIDGE_NOTE, Evaluation, SampleSize
 from ..sources.files import write_text
@@ -80,12 +82,33 @@ def benford_paper(tests: tuple[Benford, ...]) -> Document:
     return Document("Digit tests", tuple(blocks))
 
 
+def population_blocks(ledger: Ledger) -> list:
+    """What the tests looked at: counts, dates, sources and the largest amounts."""
+    row = profile.scalars(ledger).first()
+    tally = profile.with_totals(profile.composition(ledger.entries, dimensions=["by_source"])).orderBy("category").collect()
+    largest = profile.top_amounts(ledger).collect()
+    money = lambda c: f"{c // 100}.{c % 100:02d}"
+    said = lambda x: "no threshold declared" if x is None else str(x)
+    return [
+        Heading("Population"),
+        KeyValues((
+            ("Entries and lines", f"{row['n_entries']} and {row['n_lines']}"), ("Posted", f"{row['first_posting']} to {row['last_posting']}"), ("Total amount", money(row["total_amount_cents"])),
+            ("By source", ", ".join(f"{r['category']} {r['k']}/{r['n']}" for r in tally) or "none"),
+            ("Requiring approval", said(row["requiring_approval"])), ("Approval missing", said(row["missing_approval"])),
+        )),
+        Table(("Largest entries", "Amount"), tuple((r["entry_id"], money(r["amount_cents"])) for r in largest)),
+    ]
+
+
 def lead_sheet(ledger: Ledger, rules: list[Rule], status: dict[str, dict], counts: dict[str, int], n_entries: int, n_distinct: int, tests: tuple[Benford, ...] = ()) -> Document:
     rows = tuple((r.rule_id, r.title, str(status[r.rule_id]["population_size"]), str(counts.get(r.rule_id, 0)), outcome_of(status[r.rule_id]["applicable"], status[r.rule_id]["population_size"], counts.get(r.rule_id, 0))) for r in rules)
     share = f"{n_distinct}/{n_entries}" if n_entries else "no entries"
-    blocks = [engagement(ledger), Heading("Rules"), Table(("Rule", "Title", "Population", "Flags", "Outcome"), rows), Paragraph(f"Distinct flagged entries: {share}.")]
+    blocks = [engagement(ledger), *population_blocks(ledger), Heading("Rules"), Table(("Rule", "Title", "Population", "Flags", "Outcome"), rows), Paragraph(f"Distinct flagged entries: {share}.")]
+    refused = [f"{r.rule_id}: {status[r.rule_id]['reason']}" for r in rules if not status[r.rule_id]["applicable"]]
+    if refused:
+        blocks += [Heading("Rules that refused"), ListBlock(refused)]
     if tests:
-        blocks += [Heading("Digit tests"), Table(("Test", "n", "Outcome"), tuple((f"digit {t.place}", str(t.n), t.outcome) for t in tests))]
+        blocks += [Heading("Digit tests"), Table(("Test", "n", "Mean absolute deviation", "Outcome"), tuple((f"digit {t.place}", str(t.n), f"{t.mad:.4f} ({t.band})" if t.applicable else t.reason, t.outcome) for t in tests))]
     return Document("Lead sheet", tuple(blocks))
 
 
@@ -108,16 +131,55 @@ def card_paper(card: ReportCard, title: str = "Report card") -> Document:
     ))
 
 
-def drift_paper(report) -> Document:
+#: Findings that the drift paper prints; it says how many there are.
+PRINTED = 200
+
+
+def drift_paper(report, params: DriftParams = DriftParams()) -> Document:
+    """What was compared with what, by which criterion, what moved, and what that cannot say."""
+    criterion = [
+        Heading("Criterion"),
+        Paragraph(f"A cell is reported if its share moved by {params.min_shift:g} or more and the {params.confidence:g} intervals of the two shares do not meet. Dimensions: {', '.join(params.dimensions)}."),
+        Paragraph(f"Months with fewer than {params.min_period_entries} entries and categories with fewer than {params.min_category_baseline} in the baseline are not tested; the baseline has {params.min_baseline_entries} entries at least."),
+    ]
+    limits = [
+        Heading("Limitations"),
+        ListBlock(("A shift may have an ordinary reason: a new colleague, a new system, a season.", "The baseline is taken as it is; what was unusual in it is not seen.", "Many cells are compared, so some may move by chance; the floor on the shift keeps these few.")),
+    ]
     if not report.applicable:
-        return Document("Composition drift", (Paragraph(f"Not applicable: {report.reason}."),))
+        return Document("Composition drift", (*criterion, Heading("Outcome"), KeyValues((("Outcome", INCONCLUSIVE),)), Paragraph(f"Not applicable: {report.reason}."), *limits))
     n = report.findings.count()
-    rows = report.findings.orderBy("period", "dimension", "category").limit(200).collect()
-    blocks = [KeyValues((("Baseline", ", ".join(report.baseline)), ("Tested periods", str(len(report.tested))), ("Untested", "; ".join(f"{p} ({w})" for p, _, w in report.untested) or "none")))]
+    rows = report.findings.orderBy("period", "dimension", "category").limit(PRINTED).collect()
+    outcome = outcome_of(True, len(report.tested), n)
+    blocks = [
+        KeyValues((("Baseline", ", ".join(report.baseline)), ("Tested periods", str(len(report.tested))), ("Untested", "; ".join(f"{p} ({w})" for p, _, w in report.untested) or "none"))),
+        *criterion,
+        Heading("Outcome"),
+        KeyValues((("Outcome", outcome), ("Findings", str(n)))),
+        Paragraph(conclusion(outcome)),
+    ]
     blocks.append(Table(("Period", "Dimension", "Category", "Baseline", "Period k/n", "Shift"), tuple((r["period"], r["dimension"], r["category"], f"{r['base_k']}/{r['base_n']}", f"{r['k']}/{r['n']}", f"{r['shift']:+.4f}") for r in rows)) if rows else Paragraph("No cell moved past the floor with its intervals apart."))
     if n > len(rows):
         blocks.append(Paragraph(f"The first {len(rows)} of {n}; all are in drift.json."))
-    return Document("Composition drift", tuple(blocks))
+    return Document("Composition drift", (*blocks, *limits))
+
+
+def batches_paper(batches: list[dict]) -> Document:
+    """The months of a continuous run, in order."""
+    names = tuple(batches[0]) if batches else ("period",)
+    return Document("Monthly batches", (Table(names, tuple(tuple(str(b[k]) for k in names) for b in batches)),))
+
+
+def continuous_pack(ledger: Ledger, report, schedule, batches: list[dict], params: DriftParams = DriftParams()) -> dict[str, Document]:
+    """The papers of a continuous run and a sheet over them."""
+    n = report.findings.count() if report.applicable else 0
+    aged = schedule.by_bucket().orderBy("bucket").collect()
+    cover = Document("Continuous monitoring", (
+        engagement(ledger),
+        KeyValues((("Months", f"{batches[0]['period']} to {batches[-1]['period']}, n={len(batches)}" if batches else "none"), ("Drift", f"{n} findings" if report.applicable else f"not applicable: {report.reason}"), ("Aged to", schedule.as_of))),
+        Table(("Months old", "Flags", "Entries"), tuple((r["bucket"], str(r["flags"]), str(r["entries"])) for r in aged)),
+    ))
+    return {"continuous-sheet": cover, "wp-batches": batches_paper(batches), "wp-drift": drift_paper(report, params), "wp-aging": aging_paper(schedule)}
 
 
 def aging_paper(schedule) -> Document:

@@ -87,17 +87,31 @@ def read_json(spark: SparkSession, path: str) -> Ledger:
     return Ledger(e, a, raw.select(F.explode("users").alias("u")).select("u.*"), json.loads(meta) if meta else {})
 
 
+def _clean(v):
+    """A row's value as the JSON form has it."""
+    if isinstance(v, dict):
+        return {k: _clean(x) for k, x in v.items() if k not in ("line_no", "entry_seq") and not (k in ("document", "last_activity_before_range") and x is None)}
+    if isinstance(v, list):
+        return [_clean(x) for x in v]
+    return v.isoformat() if hasattr(v, "isoformat") else v
+
+
 def ledger_dict(ledger: Ledger) -> dict:
     """The JSON object of a small ledger; collects it."""
-    def clean(v):
-        if isinstance(v, dict):
-            return {k: clean(x) for k, x in v.items() if k not in ("line_no", "entry_seq") and not (k in ("document", "last_activity_before_range") and x is None)}
-        if isinstance(v, list):
-            return [clean(x) for x in v]
-        return v.isoformat() if hasattr(v, "isoformat") else v
+    rows = lambda df: [_clean(r.asDict(True)) for r in df.collect()]
+    return {"meta": _clean(dict(ledger.meta)), "coa": rows(ledger.accounts.orderBy("account_id")), "users": rows(ledger.users.orderBy("user_id")) if ledger.users is not None else [], "entries": rows(ledger.entries.orderBy("entry_seq"))}
 
-    rows = lambda df: [clean(r.asDict(True)) for r in df.collect()]
-    return {"meta": clean(dict(ledger.meta)), "coa": rows(ledger.accounts.orderBy("account_id")), "users": rows(ledger.users.orderBy("user_id")) if ledger.users is not None else [], "entries": rows(ledger.entries.orderBy("entry_seq"))}
+
+def write_ledger_json(ledger: Ledger, path: str | Path) -> None:
+    """The JSON object of a ledger of any size: entries pass one at a time, in order."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    small = ledger_dict(Ledger(ledger.entries.limit(0), ledger.accounts, ledger.users, ledger.meta))
+    plain = lambda v: json.dumps(v, sort_keys=True, separators=(",", ":"), default=str)
+    with open(path, "w", encoding="utf-8", newline="\n") as out:
+        out.write('{"coa":' + plain(small["coa"]) + ',"entries":[')
+        for i, r in enumerate(ledger.entries.orderBy("entry_seq").toLocalIterator(prefetchPartitions=True)):
+            out.write(("," if i else "") + plain(_clean(r.asDict(True))))
+        out.write('],"meta":' + plain(small["meta"]) + ',"users":' + plain(small["users"]) + "}\n")
 
 
 # CSV: one row a line
@@ -130,6 +144,27 @@ def write_flags(flags: DataFrame, status: DataFrame, folder: str) -> None:
     status.write.mode("overwrite").parquet(f"{folder}/status")
 
 
+def write_flags_json(ledger: Ledger, flags: DataFrame, status: DataFrame, path: str | Path) -> None:
+    """The flags file of a run of any size: flags pass one at a time, rule by rule."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    said = {r["rule_id"]: r for r in status.collect()}
+    counts = {r["rule_id"]: r["n"] for r in flags.groupBy("rule_id").agg(F.count("*").alias("n")).collect()}
+    rows = iter(flags.orderBy("rule_id", "entry_id", "details").toLocalIterator(prefetchPartitions=True))
+    plain = lambda v: json.dumps(v, sort_keys=True, default=str)
+    row = next(rows, None)
+    with open(path, "w", encoding="utf-8", newline="\n") as out:
+        out.write('{"ledger_meta": ' + plain(ledger.meta) + ', "results": {')
+        for i, (k, s) in enumerate(sorted(said.items())):
+            head = plain({"applicable": s["applicable"], "n_flags": counts.get(k, 0), "population_size": s["population_size"], "reason": s["reason"], "rule_id": k})
+            out.write((",\n" if i else "\n") + plain(k) + ": " + head[:-1] + ', "flags": [')
+            first = True
+            while row is not None and row["rule_id"] == k:
+                out.write(("" if first else ",") + "\n" + plain({"rule_id": k, "entry_id": row["entry_id"], "rationale": row["rationale"], "details": json.loads(row["details"])}))
+                first, row = False, next(rows, None)
+            out.write("]}")
+        out.write("}}\n")
+
+
 def battery_dict(ledger: Ledger, flags: DataFrame, status: DataFrame) -> dict:
     """The flags file of a small run; collects it."""
     by: dict[str, list] = {}

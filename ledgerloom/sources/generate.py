@@ -22,9 +22,9 @@ from ..model import Ledger
 from ..schema import ENTRIES, MANIFEST
 
 VERSION = "1"
-FY_START, FY_END = date(2025, 1, 1), date(2025, 12, 31)
-THRESHOLD = 1_000_000
 DEBIT_TYPES = ("asset", "expense")
+#: Accounts whose normal side is not their type's.
+CONTRA = {"1510": "credit"}
 
 #: Chart of accounts: id, name, type, active, last activity before the range.
 CHART = (
@@ -41,8 +41,8 @@ CHART = (
 )
 AP_EXPENSE = ("5000", "6200", "6300", "6400", "6900")
 RECLASS = ("6200", "6300", "6350", "6400", "6900")
-CUSTOMERS = ("Alder Works", "Birchfield Co", "Copperline", "Dunmore Supply", "Eastgate Labs", "Fenwick Trading", "Gorse Mills", "Harrow Tools")
-VENDORS = ("Ironbridge Parts", "Juniper Paper", "Kestrel Freight", "Larkhill Print", "Marsh Utilities", "Northway Cleaning", "Orchard Foods", "Pinecrest IT")
+CUSTOMERS = ("Alder Works", "Birchfield Co", "Coldbrook Glass", "Dunmore Supply", "Eastgate Labs", "Fenwick Trading", "Gorse Mills", "Harrow Tools")
+VENDORS = ("Ironbridge Parts", "Jessop Paper", "Kestrel Freight", "Larkhill Print", "Marsh Utilities", "Northway Cleaning", "Orchard Foods", "Pinecrest IT")
 #: Kind, weight, median, sigma, least and largest dollars.
 KINDS = (
     ("sales", 22, 1800, 1.1, 50, 95_000), ("receipt", 18, 1700, 1.1, 50, 95_000), ("ap_invoice", 20, 950, 1.0, 40, 30_000), ("ap_payment", 14, 1100, 1.0, 40, 30_000),
@@ -61,8 +61,35 @@ class GeneratorConfig:
     include_recurring: bool = True
     include_system_batch: bool = True
     include_payroll: bool = True
+    start: str = "2025-01-01"
+    end: str = "2025-12-31"
+    approval_threshold_cents: int = 1_000_000
+    #: Draws of the plants; None: those of seed.
+    anomaly_seed: int | None = None
+
+    @property
+    def first_day(self) -> date:
+        return date.fromisoformat(self.start)
+
+    @property
+    def last_day(self) -> date:
+        return date.fromisoformat(self.end)
+
+    @property
+    def plant_seed(self) -> int:
+        return self.seed if self.anomaly_seed is None else self.anomaly_seed
+
+    def months(self) -> list[date]:
+        """First days of the fiscal year's months."""
+        out, d = [], self.first_day.replace(day=1)
+        while d <= self.last_day:
+            out.append(d)
+            d = cal.month_last_day(d) + timedelta(days=1)
+        return out
 
     def __post_init__(self):
+        if not self.first_day < self.last_day or self.approval_threshold_cents <= 0:
+            raise ValueError("a year that ends after it starts, and a positive threshold")
         if not 1 <= self.n_preparers <= 8 or not 1 <= self.n_approvers <= 4 or self.n_entries < 1:
             raise ValueError("1-8 preparers, 1-4 approvers, at least one entry")
 
@@ -99,7 +126,7 @@ def no_document() -> Column:
 
 
 def accounts(spark: SparkSession) -> DataFrame:
-    rows = [(a, n, t, "debit" if t in DEBIT_TYPES else "credit", on, last) for a, n, t, on, last in CHART]
+    rows = [(a, n, t, CONTRA.get(a, "debit" if t in DEBIT_TYPES else "credit"), on, last) for a, n, t, on, last in CHART]
     return spark.createDataFrame(rows, "account_id string, name string, type string, normal_side string, active boolean, l string").withColumn("last_activity_before_range", F.col("l").cast("date")).drop("l")
 
 
@@ -112,9 +139,9 @@ def users(spark: SparkSession, cfg: GeneratorConfig) -> DataFrame:
 
 def day_weights(cfg: GeneratorConfig) -> list[tuple[date, float, float]]:
     """(day, low, high): business days with their part of [0, 1); month ends weigh more."""
-    held = cal.holidays_between(FY_START, FY_END)
-    days = cal.business_days(FY_START, FY_END, held)
-    last = {d for m in range(1, 13) for d in cal.last_n_business_days(cal.month_last_day(date(2025, m, 1)), 2, held)}
+    held = cal.holidays_between(cfg.first_day, cfg.last_day)
+    days = cal.business_days(cfg.first_day, cfg.last_day, held)
+    last = {d for m in cfg.months() for d in cal.last_n_business_days(cal.month_last_day(m), 2, held)}
     w = [(cfg.month_end_weight if d in last else 1.0) * (cfg.december_weight if d.month == 12 else 1.0) for d in days]
     total, at, out = sum(w), 0.0, []
     for d, x in zip(days, w, strict=True):
@@ -129,11 +156,11 @@ def day_weights(cfg: GeneratorConfig) -> list[tuple[date, float, float]]:
 def _scheduled(cfg: GeneratorConfig) -> list[tuple]:
     """Recurring, system and payroll entries: a few dozen literal rows a year. Each is
     (date, kind, description, source, preparer, lines)."""
-    held, out = cal.holidays_between(FY_START, FY_END), []
+    held, out = cal.holidays_between(cfg.first_day, cfg.last_day), []
     rng = __import__("random").Random(f"{cfg.seed}/scheduled")
     odd = lambda lo, hi: rng.randrange(lo, hi) * 100 + rng.randrange(1, 100)
-    for m in range(1, 13):
-        first, end = cal.first_business_day(2025, m, held), cal.month_last_day(date(2025, m, 1))
+    for m in cfg.months():
+        first, end = cal.first_business_day(m.year, m.month, held), min(cal.month_last_day(m), cfg.last_day)
         if cfg.include_recurring:
             out.append((first, "rent", f"Office rent for {first:%B}", "AP", "P-01", [("6100", 900_000, 0), ("1000", 0, 900_000)]))
             out.append((first, "insurance", f"Insurance premium for {first:%B}", "AP", "P-01", [("6500", 240_000, 0), ("1000", 0, 240_000)]))
@@ -142,8 +169,8 @@ def _scheduled(cfg: GeneratorConfig) -> list[tuple]:
             x = odd(1_780, 1_820)
             out.append((end, "interest", f"Loan interest for {first:%B}", "SYS", "SYS-BATCH", [("6700", x, 0), ("2300", 0, x)]))
     if cfg.include_payroll:
-        d = cal.nth_weekday(2025, 1, 4, 1)
-        while d <= FY_END:
+        d = cal.nth_weekday(cfg.first_day.year, cfg.first_day.month, 4, 1)
+        while d <= cfg.last_day:
             day = d if d not in held else cal.add_business_days(d, -1, held)
             gross = odd(38_000, 42_000)
             kept = gross * 24 // 100
@@ -190,26 +217,28 @@ def clean_rows(spark: SparkSession, cfg: GeneratorConfig) -> DataFrame:
         .when(k("refund"), F.concat(L("Customer refund to "), customer)).otherwise(F.concat(L("Expense reimbursement, traveller "), number(1, 40)))
     )
     preparer = F.concat(L("P-"), F.lpad((F.floor(F.col("up") * cfg.n_preparers) + 1).cast("string"), 2, "0"))
-    approver = F.when((source == "GL") | (F.col("cents") >= THRESHOLD), F.concat(L("A-"), F.lpad((F.floor(u(10) * cfg.n_approvers) + 1).cast("string"), 2, "0")))
+    approver = F.when((source == "GL") | (F.col("cents") >= cfg.approval_threshold_cents), F.concat(L("A-"), F.lpad((F.floor(u(10) * cfg.n_approvers) + 1).cast("string"), 2, "0")))
     loose = r.select((F.col("id") + len(scheduled)).alias("row"), "posting_date", text.alias("description"), source.alias("source"), preparer.alias("preparer_id"), two_lines(dr, cr, F.col("cents")).alias("lines"), F.col("posting_date").alias("effective_date"), approver.alias("approver_id"))
     out = fixed.unionByName(loose).withColumn("document", no_document()).withColumn("plant", F.lit(None).cast("string"))
     return out.withColumn("rank", F.xxhash64(F.lit(cfg.seed), F.lit("rank"), F.lit("clean"), "row"))
 
 
-def finalize(rows: DataFrame, prefix: str = "JE") -> DataFrame:
-    """Ids in order of (posting_date, rank): counts of days give offsets, so a task numbers a
-    day at a time."""
-    days = rows.groupBy("posting_date").agg(F.count("*").alias("c"))
-    before = W.partitionBy(F.lit(1)).orderBy("posting_date").rowsBetween(W.unboundedPreceding, -1)
-    days = days.select("posting_date", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("o"))
-    n = F.row_number().over(W.partitionBy("posting_date").orderBy("rank", "row")) + F.col("o")
-    out = rows.join(F.broadcast(days), "posting_date").withColumn("entry_seq", n.cast("bigint"))
-    return out.withColumn("entry_id", F.format_string(f"{prefix}-%09d", "entry_seq"))
+def finalize(rows: DataFrame, prefix: str = "JE", pieces: int = 16) -> DataFrame:
+    """Ids in order of (posting_date, rank): ranks are hashes, so a day falls into `pieces`
+    equal ranges of them; counts of these give offsets, and a task numbers one at a time."""
+    step = (1 << 64) // pieces
+    rows = rows.withColumn("piece", F.expr(f"cast((cast(rank as decimal(20,0)) + {1 << 63}) div {step} as int)"))
+    counts = rows.groupBy("posting_date", "piece").agg(F.count("*").alias("c"))
+    before = W.partitionBy(F.lit(1)).orderBy("posting_date", "piece").rowsBetween(W.unboundedPreceding, -1)  # days times pieces
+    counts = counts.select("posting_date", "piece", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("o"))
+    n = F.row_number().over(W.partitionBy("posting_date", "piece").orderBy("rank", "row")) + F.col("o")
+    out = rows.join(F.broadcast(counts), ["posting_date", "piece"]).withColumn("entry_seq", n.cast("bigint"))
+    return out.withColumn("entry_id", F.format_string(f"{prefix}-%09d", "entry_seq")).drop("piece")
 
 
 def _ledger(spark, rows: DataFrame, cfg: GeneratorConfig, **meta) -> Ledger:
     e = rows.select(*[f.name for f in ENTRIES.fields])
-    m = {"generator_version": VERSION, "seed": cfg.seed, "fiscal_year_start": FY_START.isoformat(), "fiscal_year_end": FY_END.isoformat(), "approval_threshold_cents": THRESHOLD, "n_entries": cfg.n_entries, "config": asdict(cfg), **meta}
+    m = {"generator_version": VERSION, "seed": cfg.seed, "fiscal_year_start": cfg.first_day.isoformat(), "fiscal_year_end": cfg.last_day.isoformat(), "approval_threshold_cents": cfg.approval_threshold_cents, "n_entries": cfg.n_entries, "config": asdict(cfg), **meta}
     return Ledger(e, accounts(spark), users(spark, cfg), m)
 
 
@@ -251,12 +280,12 @@ def planted_rows(spark: SparkSession, cfg: GeneratorConfig, plan: dict[str, int]
     """Literal rows of the plants; originals are the clean invoices that copies repeat."""
     import random
 
-    held = cal.holidays_between(FY_START, FY_END)
-    days = cal.business_days(FY_START, date(2025, 11, 28), held)
+    held = cal.holidays_between(cfg.first_day, cfg.last_day)
+    days = cal.business_days(cfg.first_day, cfg.last_day - timedelta(days=33), held)
     out: list[tuple] = []
 
     def rng_of(c: str, i: int):
-        return random.Random(f"{cfg.seed}/plant/{c}/{i}")
+        return random.Random(f"{cfg.plant_seed}/plant/{c}/{i}")
 
     taken = iter(originals)
     for c in GL_CLASSES:
@@ -266,11 +295,11 @@ def planted_rows(spark: SparkSession, cfg: GeneratorConfig, plan: dict[str, int]
             d = r.choice(days)
             cents = r.randrange(1_000, 9_000) * 100 + r.randrange(1, 100)
             if c == "late_round_dollar":
-                d = cal.last_n_business_days(FY_END, 1, held)[0]
+                d = cal.last_n_business_days(cfg.last_day, 1, held)[0]
                 out.append((tag, d, d, "Reserve top-up agreed with management", "GL", who, boss, _two("6900", "2100", r.choice((1_500_000, 2_500_000, 4_000_000)))))
             elif c == "post_close_entry":
-                d = cal.add_business_days(FY_END, r.randrange(2, 6), cal.holidays_between(FY_END, FY_END + timedelta(days=30)))
-                out.append((tag, d, FY_END, "Late adjustment of year-end revenue", "GL", who, boss, _two("1100", "4000", 1_800_000 + r.randrange(1, 9_999))))
+                d = cal.add_business_days(cfg.last_day, r.randrange(2, 6), cal.holidays_between(cfg.last_day, cfg.last_day + timedelta(days=30)))
+                out.append((tag, d, cfg.last_day, "Late adjustment of year-end revenue", "GL", who, boss, _two("1100", "4000", 1_800_000 + r.randrange(1, 9_999))))
             elif c == "self_approval":
                 out.append((tag, d, d, "Consulting retainer for the project office", "GL", who, who, _two("6400", "2100", 1_200_000 + r.randrange(1, 99_999))))
             elif c in ("duplicate_pair", "near_duplicate"):
@@ -285,7 +314,7 @@ def planted_rows(spark: SparkSession, cfg: GeneratorConfig, plan: dict[str, int]
                 out.append((f"{tag}|{o['row']}", d, d, text, o["source"], o["preparer_id"], o["approver_id"], _two(a["account_id"], b["account_id"], x)))
             elif c == "threshold_shaving":
                 for k in range(3):
-                    out.append((tag, cal.add_business_days(d, 3 * k, held), d, f"Site works instalment {k + 1}", "AP", who, boss, _two("6400", "2000", THRESHOLD - r.randrange(2_500, 60_001))))
+                    out.append((tag, cal.add_business_days(d, 3 * k, held), d, f"Site works instalment {k + 1}", "AP", who, boss, _two("6400", "2000", cfg.approval_threshold_cents - r.randrange(2_500, 60_001))))
             elif c == "dormant_reactivation":
                 out.append((tag, d, d, "Clearing of an open balance", "GL", who, boss, _two(("1550", "2150", "4500")[i % 3], "1000", cents)))
             elif c == "unbalanced_entry":
@@ -324,8 +353,8 @@ def generate_with_anomalies(spark: SparkSession, cfg: GeneratorConfig = Generato
     plan = _plan(default_plan() if plan is None else plan, GL_CLASSES)
     clean = clean_rows(spark, cfg)
     copies = plan.get("duplicate_pair", 0) + plan.get("near_duplicate", 0)
-    pool = clean.where((F.col("source") == "AP") & (F.size("lines") == 2) & (F.col("lines")[1]["account_id"] == "2000") & F.col("lines")[0]["account_id"].isin(*AP_EXPENSE) & (F.datediff(F.lit(FY_END), "posting_date") >= 20))
-    originals = pool.orderBy(F.xxhash64(F.lit(cfg.seed), F.lit("copy"), "row")).limit(copies).collect() if copies else []
+    pool = clean.where((F.col("source") == "AP") & (F.size("lines") == 2) & (F.col("lines")[1]["account_id"] == "2000") & F.col("lines")[0]["account_id"].isin(*AP_EXPENSE) & (F.datediff(F.lit(cfg.last_day), "posting_date") >= 20))
+    originals = pool.orderBy(F.xxhash64(F.lit(cfg.plant_seed), F.lit("copy"), "row")).limit(copies).collect() if copies else []
     every, manifest = _with_plants(spark, clean, planted_rows(spark, cfg, plan, originals), cfg, "JE", "AN")
     return _ledger(spark, every, cfg, anomalies={"plan": plan}), manifest
 
@@ -359,8 +388,8 @@ def generate_with_drift(spark: SparkSession, cfg: GeneratorConfig = GeneratorCon
     counts = clean.groupBy("m", "source", "preparer_id").agg(F.count("*").alias("k")).collect()
     months = sorted({r["m"] for r in counts})
     size = lambda m: sum(r["k"] for r in counts if r["m"] == m)
-    rng = random.Random(f"{cfg.seed}/drift")
-    free = [m for m in months[baseline_periods:] if size(m) >= 40 and m <= "2025-12"]
+    rng = random.Random(f"{cfg.plant_seed}/drift")
+    free = [m for m in months[baseline_periods:] if size(m) >= 40 and m <= cfg.end[:7]]
     rng.shuffle(free)
     if sum(plan.values()) > len(free):
         raise ValueError("too few months for the plan")
@@ -375,7 +404,7 @@ def generate_with_drift(spark: SparkSession, cfg: GeneratorConfig = GeneratorCon
                 who = f"P-{rng.randrange(cfg.n_preparers) + 1:02d}"
                 share = sum(r["k"] for r in base if r["preparer_id"] == who) / n_base
                 k = reassignments_needed(sum(r["k"] for r in counts if r["m"] == m and r["preparer_id"] == who), size(m), max(0.35, share + 0.22))
-                order = W.partitionBy(F.lit(1)).orderBy(F.xxhash64(F.lit(cfg.seed), F.lit(tag), "row"))  # one month's rows
+                order = W.partitionBy(F.lit(1)).orderBy(F.xxhash64(F.lit(cfg.plant_seed), F.lit(tag), "row"))  # one month's rows
                 some = clean.where((F.col("m") == m) & F.col("preparer_id").startswith("P-") & (F.col("preparer_id") != who) & F.coalesce(F.col("approver_id") != who, F.lit(True)))
                 some = some.withColumn("o", F.row_number().over(order)).where(F.col("o") <= k)
                 change = change.unionByName(some.select("row", F.lit(who).alias("to"), F.lit(tag).alias("tag")))
@@ -383,7 +412,7 @@ def generate_with_drift(spark: SparkSession, cfg: GeneratorConfig = GeneratorCon
                 share = sum(r["k"] for r in base if r["source"] == "GL") / n_base
                 k = entries_needed(sum(r["k"] for r in counts if r["m"] == m and r["source"] == "GL"), size(m), max(0.35, share + 0.22))
                 y, mo = map(int, m.split("-"))
-                held = cal.holidays_between(FY_START, FY_END)
+                held = cal.holidays_between(cfg.first_day, cfg.last_day)
                 days = cal.business_days(date(y, mo, 1), cal.month_last_day(date(y, mo, 1)), held)
                 for j in range(k):
                     d, a = days[j % len(days)], RECLASS[j % len(RECLASS)]
@@ -417,10 +446,10 @@ def ap_clean_rows(spark: SparkSession, cfg: GeneratorConfig) -> DataFrame:
     """Invoices of twelve vendors. References count up by vendor; a retainer repeats its
     amount monthly, one vendor splits bills on one day, one bills by progress, and there are
     credit memos: benign look-alikes of what the rules look for."""
-    held = cal.holidays_between(FY_START, FY_END)
+    held = cal.holidays_between(cfg.first_day, cfg.last_day)
     fixed: list[tuple] = []
-    for m in range(1, 13):
-        d = cal.first_business_day(2025, m, held)
+    for first in cfg.months():
+        m, d = first.month, cal.first_business_day(first.year, first.month, held)
         fixed.append((d, d, "V-05", "invoice", 384_517, "retainer"))
         for _ in range(2):
             fixed.append((d + timedelta(days=7), d + timedelta(days=7), "V-09", "invoice", 210_000 + 1_337 * m, "split billing"))
@@ -434,12 +463,12 @@ def ap_clean_rows(spark: SparkSession, cfg: GeneratorConfig) -> DataFrame:
     base = spark.createDataFrame(rows, "row long, posting_date date, doc_date date, vendor string, doc_type string, cents long, what string")
     n = max(0, cfg.n_entries - len(rows))
     u = lambda k: uniform(cfg.seed, "ap", F.col("id"), k)
-    days = cal.business_days(FY_START, date(2025, 12, 12), held)
+    days = cal.business_days(cfg.first_day, cfg.last_day - timedelta(days=19), held)
     r = spark.range(n).withColumn("i", F.least(F.floor(u(0) * len(days)), F.lit(len(days) - 1)).cast("int"))
     dates = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "i int, doc_date date")
     r = r.join(F.broadcast(dates), "i")
     lag = F.when(u(1) < 0.06, F.floor(u(2) * 64) + 6).otherwise(F.floor(u(2) * 6)).cast("int")
-    later = F.broadcast(spark.createDataFrame([(i, d) for i, d in enumerate(cal.business_days(FY_START, FY_END + timedelta(days=150), cal.holidays_between(FY_START, FY_END + timedelta(days=150))))], "j int, posting_date date"))
+    later = F.broadcast(spark.createDataFrame([(i, d) for i, d in enumerate(cal.business_days(cfg.first_day, cfg.last_day + timedelta(days=150), cal.holidays_between(cfg.first_day, cfg.last_day + timedelta(days=150))))], "j int, posting_date date"))
     r = r.withColumn("j", F.col("i") + lag).join(later, "j")
     cents = lognormal_cents(u(3), u(4), u(5), F.lit(950.0), F.lit(1.0), F.lit(40.0), F.lit(30_000.0)).cast("bigint")
     loose = r.select((F.col("id") + len(rows)).alias("row"), "posting_date", "doc_date", pick(u(6), [v for v, _ in AP_VENDORS]).alias("vendor"), F.lit("invoice").alias("doc_type"), cents.alias("cents"), F.lit("stochastic").alias("what"))
@@ -457,7 +486,7 @@ def _ap_entry(rows: DataFrame, cfg: GeneratorConfig) -> DataFrame:
     memo = F.col("doc_type") == "credit_memo"
     lines = F.when(memo, two_lines(F.lit("2000"), account, F.col("cents"))).otherwise(two_lines(account, F.lit("2000"), F.col("cents")))
     who = F.concat(F.lit("P-"), F.lpad((F.floor(uniform(cfg.seed, "ap-who", F.col("row"), 0) * cfg.n_preparers) + 1).cast("string"), 2, "0"))
-    approver = F.when(F.col("cents") >= THRESHOLD, F.lit("A-01"))
+    approver = F.when(F.col("cents") >= cfg.approval_threshold_cents, F.lit("A-01"))
     doc = F.struct("doc_type", F.col("vendor").alias("party_id"), "reference", "doc_date")
     text = F.concat(F.col("vendor"), F.lit(" "), F.regexp_replace("doc_type", "_", " "), F.lit(" "), F.col("reference"))
     return rows.select("row", "posting_date", F.col("posting_date").alias("effective_date"), text.alias("description"), F.lit("AP").alias("source"), who.alias("preparer_id"), approver.alias("approver_id"), lines.alias("lines"), doc.cast(ENTRIES["document"].dataType).alias("document"), "plant", F.xxhash64(F.lit(cfg.seed), F.lit("rank"), F.lit("ap"), "row", "reference").alias("rank"))
@@ -482,16 +511,16 @@ def generate_ap_with_duplicates(spark: SparkSession, cfg: GeneratorConfig = Gene
     clean = ap_clean_rows(spark, cfg).cache()
     alone = F.count("*").over(W.partitionBy("vendor", "cents")) == 1
     pool = clean.withColumn("alone", alone).where(F.col("alone") & (F.col("what") == "stochastic") & (F.datediff("posting_date", "doc_date") <= 7))
-    originals = pool.orderBy(F.xxhash64(F.lit(cfg.seed), F.lit("ap-copy"), "row")).limit(4 * sum(plan.values()) + 8).collect()
+    originals = pool.orderBy(F.xxhash64(F.lit(cfg.plant_seed), F.lit("ap-copy"), "row")).limit(4 * sum(plan.values()) + 8).collect()
     swaps_of = {(o["vendor"], o["reference"]): _swaps(o["reference"]) for o in originals}
     swaps = spark.createDataFrame([(v, s) for (v, _), x in swaps_of.items() for s in x], "vendor string, reference string").distinct()
     issued = clean.select("vendor", "reference").join(F.broadcast(swaps), ["vendor", "reference"], "left_semi").distinct()
     free = {tuple(r) for r in swaps.join(F.broadcast(issued), ["vendor", "reference"], "left_anti").select("vendor", "reference").collect()}
-    held = cal.holidays_between(FY_START, FY_END + timedelta(days=120))
+    held = cal.holidays_between(cfg.first_day, cfg.last_day + timedelta(days=120))
     rows, taken = [], iter(originals)
     for c in AP_CLASSES:
         for i in range(plan.get(c, 0)):
-            rng = random.Random(f"{cfg.seed}/{c}/{i}")
+            rng = random.Random(f"{cfg.plant_seed}/{c}/{i}")
             for o in taken:
                 ref, doc = o["reference"], o["doc_date"]
                 add = rng.randrange(2, 6)

@@ -107,6 +107,34 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(continuous.record_flags(book.entries, book))
 
 
+def test_stream_of_months_and_duplicates(spark, tmp_path):
+    """A row a month and source, joined with a baseline; duplicate pairs as in the batch."""
+    book = ledger(spark, [entry(1, posted="2025-01-05"), entry(2, posted="2025-01-20"), entry(3, 777_700, posted="2025-02-03", source="AP"), entry(4, 777_700, posted="2025-02-05", source="AP"), entry(5, 888_800, posted="2025-06-30")])
+    src = str(tmp_path / "in")
+    book.entries.coalesce(1).write.parquet(src)
+    stream = continuous.read_entries(spark, src)
+    base = spark.createDataFrame([("GL", 10, 40)], "source string, base_k long, base_n long")
+    got = {}
+    for name, df in (("m", continuous.against_baseline(continuous.month_counts(stream), base)), ("d", continuous.duplicate_pairs(stream, 7))):
+        continuous.run_available(df, str(tmp_path / name), str(tmp_path / f"cp-{name}")).awaitTermination()
+        got[name] = spark.read.parquet(str(tmp_path / name)).collect()
+    # June is still open: its watermark has not passed
+    assert {(r["month"], r["source"], r["k"], r["base_k"]) for r in got["m"]} == {("2025-01", "GL", 2, 10), ("2025-02", "AP", 2, None)}
+    assert {(r["first_id"], r["second_id"]) for r in got["d"]} == {("E-3", "E-4")}
+
+
+def test_aging_keeps_its_buckets(spark):
+    from ledgerloom.operators import aging
+
+    book = ledger(spark, [entry(n, posted=f"2025-{n:02d}-10") for n in (1, 6, 12)])
+    flags = spark.createDataFrame([("R-001", f"E-{n}", "", "{}") for n in (1, 6, 12)], "rule_id string, entry_id string, rationale string, details string")
+    s = aging.age_exceptions(flags, book, "2025-12", (0, 6, 11))
+    row = s.by_rule().first()
+    assert (row["0"], row["6"], row["11+"]) == (1, 1, 1)
+    with pytest.raises(ValueError):
+        aging.age_exceptions(flags, book, "2025-12", (3, 1))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(plans.ORACLE_SQL))
 def test_oracle(spark, name):
