@@ -30,8 +30,8 @@ GROUP = 128
 GROUP_SHINGLES = 1_000_000
 #: A shingle that so many documents of the sample hold is hot.
 HOT = 64
-#: Bits of the map that keeps most unwanted texts out of a shuffle (8 MB, whatever the input).
-MARKS = 1 << 26
+#: Largest map, in powers of two bits, that keeps unwanted texts out of a shuffle: 32 MB.
+MARKS = 28
 #: One document in so many is counted for the order of rarity, and so many shingles ranked.
 SAMPLE_ONE_IN = 16
 RANKED = 1_000_000
@@ -336,33 +336,33 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85,
     wanted = members.select("cls", "tk").unionByName(cls.select("cls", "tk").join(visits.select("cls").distinct(), "cls", "left_semi")).distinct()
 
     def run(batches):
-        seen: set[int] = set()  # a repeated row (one id, one text) needs its set but once
+        seen: set[int] = set()  # a repeated row needs its set but once
         for batch in batches:
-            keys = batch.column(0).to_pylist()
             c, out = [], []
-            for _, i, s in _each([batch], 1, words):
-                if keys[i] not in seen:
+            for _, _, s in _each([batch], 0, words):
+                key = set_key(s)
+                if key not in seen:
                     if len(seen) > 100_000:
                         seen.clear()
-                    seen.add(keys[i])
-                    c.append(keys[i])
+                    seen.add(key)
+                    c.append(key)
                     out.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(out, pa.binary())], ["tk", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(out, pa.binary())], ["cls", "set"])
 
-    # the texts of wanted rows, and some more: what a bitmap of MARKS bits lets through
-    wanted = materialize(wanted, "tgm-wanted")
-    cell, place = F.shiftright(F.col("tk").bitwiseAND(F.lit(MARKS - 1)), 15), F.col("tk").bitwiseAND(F.lit((1 << 15) - 1))
+    # the texts of wanted rows are marked in a bitmap: what it lets through besides, some
+    # hundredths at 32 bits a row, finds no class below
+    wanted = materialize(wanted.select("tk"), "tgm-wanted")
+    bits = 1 << min(MARKS, max(20, (32 * wanted.count()).bit_length()))
+    cell, place = F.shiftright(F.col("tk").bitwiseAND(F.lit(bits - 1)), 15), F.col("tk").bitwiseAND(F.lit((1 << 15) - 1))
     marks = wanted.groupBy(cell.alias("cell")).agg(F.bitmap_construct_agg(place).alias("bits"))
-    some = texts.select("text", F.xxhash64("doc_id", "text").alias("tk")).withColumn("cell", cell).join(F.broadcast(marks), "cell")
+    some = texts.where("text <> ''").select("text", F.xxhash64("doc_id", "text").alias("tk")).withColumn("cell", cell).join(F.broadcast(marks), "cell")
     byte = F.conv(F.hex(F.substring("bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     some = some.where(F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1)
-    found = some.select("tk", "text").mapInArrow(trimmed(run), "tk long, set binary")
-    sets = materialize(found.join(wanted, "tk").select("cls", "set"), "tgm-sets")
-    own = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("gid", "part", "cls")
-    own = own.join(sets, "cls").select("gid", "part", F.lit(0).alias("kind"), (F.col("part") == 0).alias("first"), "cls", "set")
-    come = visits.join(size, "gid").select("gid", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), "cls")
-    come = come.join(sets, "cls").select("gid", "part", F.lit(1).alias("kind"), F.lit(False).alias("first"), "cls", "set")
-    at = own.unionByName(come).repartition("gid", "part").sortWithinPartitions("gid", "part", "kind")
+    sets = materialize(some.select("text").mapInArrow(trimmed(run), "cls long, set binary"), "tgm-sets")
+    own = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("gid", "part", F.lit(0).alias("kind"), (F.col("part") == 0).alias("first"), "cls")
+    come = visits.join(size, "gid").select("gid", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), F.lit(False).alias("first"), "cls")
+    at = own.unionByName(come).join(sets, "cls").select("gid", "part", "kind", "first", "cls", "set")
+    at = at.repartition("gid", "part").sortWithinPartitions("gid", "part", "kind")
     roots = components(at.mapInArrow(_verify(percent), "a long, b long"))
     release(cls, big, live, visits, size, wanted, sets)
     least = docs.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
