@@ -1,21 +1,25 @@
 """Sharding by histogram sort: exact bytes below candidate boundaries, refined until the
-splitters meet the tolerance, then one exchange. Built-in functions only."""
+splitters meet the tolerance, then one exchange of whole documents. Built-in functions only."""
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import materialize, release
 
 LAW = "bytes"
 _LOW = -(1 << 63)
 #: A refinement looks at so many more bits of the key.
 _BITS = 8
+#: Bytes of documents that one task of the exchange takes.
+PART_BYTES = 256 << 20
+#: Tasks of the exchange at most; beyond that a task takes more bytes.
+PARTS = 100_000
 
 
 @dataclass(frozen=True)
@@ -28,18 +32,21 @@ class Splitter:
 
 
 def keyed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, k1, k2): k1 hashes the text, so equal texts are neighbours
+    """(doc_id, size, k1, k2): k1 hashes the text, so equal texts are neighbours
     in key order; k2 hashes the id and orders them."""
     t = F.coalesce(F.col(text), F.lit(""))
     return documents.select(
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(t) + F.lit(8)).cast("bigint").alias("size"),
-        F.crc32(t.cast("binary")).alias("text_crc32"),
         F.xxhash64(t).alias("k1"),
-        F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(17)).alias("k2"),
+        _k2(doc_id).alias("k2"),
     )
 
 
+def _k2(doc_id: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(17))
+
+
 def _search(rows: DataFrame, key: str, targets: list[float], below: int, total_rows: int, slack: float) -> list[tuple[int, int, int | None]]:
     """For each target the boundary of `key` whose bytes to its left come nearest to it:
     (boundary, bytes left of it, None), or (value, bytes left of it, rows) where one value
@@ -126,43 +133,74 @@ def _at_least(s: Splitter):
     return (F.col("k1") > F.lit(s.first)) | ((F.col("k1") == F.lit(s.first)) & (F.col("k2") >= F.lit(s.second)))
 
 
-def shard_documents(documents: DataFrame, shards: int = 24, tolerance: float = 0.01, doc_id: str = "doc_id", text: str = "text", rows_a_run: int = 2000) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row.
+def _exchanged(documents: DataFrame, shards: int, tolerance: float, doc_id: str, text: str, part_bytes: int) -> DataFrame:
+    """The rows of documents, columns named c0, c1, ..., in their shards, with `shard` and
+    `slot`: whole rows go over one exchange, each to the one task of its part of a shard.
 
-    The law is `bytes`: shards hold nearly equal bytes. Equal texts stand side by side and
-    share a shard unless the group reaches over a boundary that the law needs.
-
-    Slots number a shard's rows without gaps: rows fall into short runs of the key order
-    (a run swollen by copies is cut by the id's hash), runs are counted, and only a run's
-    rows meet in a task. Null text: size 8, the crc of no bytes. Null ids are ids like any
-    other; rows of one id and text stay together. Empty table: no rows.
+    A shard is cut into parts of about part_bytes by a hash of the key, so that no task holds
+    a whole shard of a large table; the counts of all parts, from the keys alone, say where a
+    part's slots begin. Parts number PARTS at most (or one a shard), which bounds the table
+    of beginnings that is broadcast.
     """
-    rows = materialize(keyed(documents, doc_id, text), "shard-keys")
+    rows = materialize(keyed(documents, doc_id, text).select("size", "k1", "k2"), "shard-keys")
     cuts = splitters(rows, shards, tolerance)
-    n = rows.count()
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    m = max(1, min(-(-total // (shards * part_bytes)), PARTS // shards))
     shard = F.lit(0)
     for s in cuts:
         shard = shard + _at_least(s).cast("int")
-    bits = max(0, min(40, (max(1, n // rows_a_run)).bit_length()))
-    run = F.shiftright("k1", 64 - bits) if bits else F.lit(0).cast("bigint")
-    at = rows.select("*", shard.cast("int").alias("shard"), run.alias("run"))
-    size = at.groupBy("shard", "run").agg(F.count("*").alias("n"))
-    size = size.withColumn("pieces", F.greatest(F.lit(1), (F.col("n") / F.lit(2 * rows_a_run)).cast("int")))
-    at = at.join(size.select("shard", "run", "pieces"), ["shard", "run"]).withColumn("piece", F.pmod(F.xxhash64("k2", "k1"), F.col("pieces")).cast("int"))
-    counted = at.groupBy("shard", "run", "piece").agg(F.count("*").alias("n"))
-    # offsets in two steps, so that no window holds a whole shard's runs at scale
-    block = F.shiftright("run", 12)
-    counted = counted.withColumn("block", block)
-    within = W.partitionBy("shard", "block").orderBy("run", "piece").rowsBetween(W.unboundedPreceding, -1)
-    counted = counted.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    blocks = counted.groupBy("shard", "block").agg(F.sum("n").alias("bn"))
-    over = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.withColumn("outer", F.coalesce(F.sum("bn").over(over), F.lit(0))).drop("bn")
-    offsets = counted.join(blocks, ["shard", "block"]).select("shard", "run", "piece", (F.col("inner") + F.col("outer")).alias("offset"))
-    order = W.partitionBy("shard", "run", "piece").orderBy("k1", "k2", "doc_id")
-    placed = at.withColumn("__n", F.row_number().over(order)).join(offsets, ["shard", "run", "piece"])
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard",
-        (F.col("offset") + F.col("__n") - 1).cast("bigint").alias("slot"),
+    part = (shard * F.lit(m) + F.pmod(F.xxhash64("k1", "k2"), F.lit(m))).cast("int")
+    names = documents.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    key, body = inner[names.index(doc_id)], inner[names.index(text)]
+    d = documents.toDF(*inner)
+    t = F.coalesce(F.col(body), F.lit(""))
+    d = d.withColumns({"k1": F.xxhash64(t), "k2": _k2(key)})
+    d = d.withColumn("part", part).repartitionById(shards * m, "part")
+    d = d.withColumn("slot", F.row_number().over(W.partitionBy("part").orderBy("k1", "k2", key)).cast("bigint") - 1)
+    if m > 1:
+        counted = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+        before = W.partitionBy(F.expr(f"part div {m}")).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+        begins = materialize(counted.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin")), "shard-begins")
+        d = d.join(F.broadcast(begins), "part", "left").withColumn("slot", F.col("slot") + F.col("begin"))
+    release(rows)
+    return d.select(*inner, F.expr(f"cast(part div {m} as int)").alias("shard"), "slot")
+
+
+def shard_documents(documents: DataFrame, shards: int = 24, tolerance: float = 0.01, doc_id: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row, read off the
+    documents where the exchange has put them.
+
+    The law is `bytes`: shards hold nearly equal bytes. Equal texts share a shard unless their
+    group reaches over a boundary that the law needs. Slots number a shard's rows without
+    gaps. Null text: size 8, the crc of no bytes. Null ids are ids like any other; rows of one
+    id and text stay together. Empty table: no rows. Other columns of documents, whatever
+    their names, play no part.
+    """
+    names = documents.columns
+    key, body = (f"c{names.index(x)}" for x in (doc_id, text))
+    t = F.coalesce(F.col(body), F.lit(""))
+    return _exchanged(documents, shards, tolerance, doc_id, text, part_bytes).select(
+        F.col(key).alias("doc_id"),
+        (F.octet_length(t) + F.lit(8)).cast("bigint").alias("size"),
+        F.crc32(t.cast("binary")).alias("text_crc32"),
+        F.lit(LAW).alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def write_shards(documents: DataFrame, folder: str, shards: int = 24, tolerance: float = 0.01, doc_id: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """Write whole documents, one folder a shard (`shard=0`, ...), rows in key order inside a
+    file, and read them back: the columns of documents, slot and shard. A column of documents
+    that has one of these two names keeps it; ours then gets underscores in front."""
+    names = documents.columns
+    taken = {n.lower() for n in names}
+    own = []
+    for n in ("slot", "shard"):
+        while n in taken:
+            n = "_" + n
+        own.append(n)
+    d = _exchanged(documents, shards, tolerance, doc_id, text, part_bytes)
+    d = d.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], F.col("slot").alias(own[0]), F.col("shard").alias(own[1]))
+    d.write.partitionBy(own[1]).parquet(folder)
+    return documents.sparkSession.read.schema(d.schema).parquet(folder)

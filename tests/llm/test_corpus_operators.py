@@ -71,8 +71,9 @@ def test_flow_against_brute_force():
         assert got == best
 
 
-def test_sharding(spark, docs, none):
-    got = sharding.shard_documents(docs, 6).collect()
+@pytest.mark.parametrize("part_bytes", [sharding.PART_BYTES, 500])
+def test_sharding(spark, docs, none, part_bytes):
+    got = sharding.shard_documents(docs, 6, part_bytes=part_bytes).collect()
     assert len(got) == docs.count() and {r["law"] for r in got} == {"bytes"}
     for r in got:
         assert r["grown_shard"] is None
@@ -82,10 +83,53 @@ def test_sharding(spark, docs, none):
     for r in got:
         by[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
-    assert sharding.shard_documents(none).count() == 0
-    hot = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text again").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
-    sizes = [r["b"] for r in sharding.shard_documents(hot, 24).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
-    assert len(sizes) == 24 and max(sizes) - min(sizes) < 0.06 * max(sizes)
+    assert sharding.shard_documents(none, part_bytes=part_bytes).count() == 0
+
+
+def hot_table(spark):
+    """A third of the rows are copies of one text; some ids are null, some rows come twice."""
+    text = F.when(F.col("id") % 3 == 0, "the same text again").otherwise(F.concat(F.lit("text "), F.repeat(F.lit("x"), (F.col("id") % 40).cast("int")), F.col("id")))
+    one = spark.range(6000).select(F.when(F.col("id") % 50 > 0, F.col("id")).alias("doc_id"), text.alias("text"))
+    return one.unionAll(one.where("doc_id < 100"))
+
+
+@pytest.mark.parametrize("part_bytes", [sharding.PART_BYTES, 2000])
+def test_shards_against_a_sort_of_all_rows(spark, part_bytes):
+    """The shards cut the sorted keys where a sort on one machine would, within the tolerance."""
+    hot = hot_table(spark)
+    rows = sorted(((r["k1"], r["k2"], r["size"]) for r in sharding.keyed(hot).collect()))
+    share = sum(r[2] for r in rows) / 24
+    shard_of = {}
+    keys = hot.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"), sharding._k2("doc_id").alias("k2"))
+    crc = {(r["doc_id"], zlib.crc32(r["text"].encode())): (r["k1"], r["k2"]) for r in keys.collect()}
+    got = sharding.shard_documents(hot, 24, part_bytes=part_bytes).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert shard_of.setdefault(crc[r["doc_id"], r["text_crc32"]], r["shard"]) == r["shard"]
+    left, now = 0, 0
+    for k1, k2, size in rows:
+        shard = shard_of[k1, k2]
+        assert shard >= now
+        for j in range(now + 1, shard + 1):
+            assert abs(left - share * j) <= 0.01 * share + 120
+        left, now = left + size, shard
+    assert now == 23
+
+
+@pytest.mark.parametrize("part_bytes", [sharding.PART_BYTES, 500])
+def test_written_shards_hold_whole_documents(spark, docs, none, tmp_path, part_bytes):
+    """Every column comes back, those named like ours too; files hold what the digest says."""
+    got = sharding.write_shards(docs, f"file://{tmp_path}/s", 6, part_bytes=part_bytes)
+    assert got.columns == [*docs.columns, "slot", "_shard"]
+    rows = got.collect()
+    # the longest text spans shards, which stay empty
+    assert {p.name for p in (tmp_path / "s").glob("_shard=*")} == {f"_shard={r['_shard']}" for r in rows}
+    assert Counter(tuple(r[:-2]) for r in rows) == Counter(tuple(r) for r in docs.collect())
+    digest = Counter((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard_documents(docs, 6, part_bytes=part_bytes).collect())
+    mine = Counter((r["doc_id"], zlib.crc32((r["text"] or "").encode()), r["_shard"], r["slot"]) for r in rows)
+    # rows of one id and text may trade their slots
+    assert Counter(k[:3] for k in mine.elements()) == Counter(k[:3] for k in digest.elements()) and Counter(k[2:] for k in mine.elements()) == Counter(k[2:] for k in digest.elements())
+    assert sharding.write_shards(none, f"file://{tmp_path}/none", 6).count() == 0
 
 
 def test_packing(docs, none):
