@@ -71,7 +71,7 @@ def measured(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = (
         "__w": F.expr(f"regexp_extract_all({t}, '{WORD_RE}', 0)".replace("\\", "\\\\")),
         "__l": F.expr(f"filter(split({t}, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"),
     })
-    d = d.withColumn("__h", F.expr("if(size(__w) < 3, array(), transform(sequence(0, size(__w) - 3), i -> xxhash64(get(__w, i), get(__w, i + 1), get(__w, i + 2))))"))
+    d = d.withColumn("__h", F.expr("if(size(__w) < 3, array(), transform(slice(__w, 1, size(__w) - 2), (w, i) -> xxhash64(w, __w[i + 1], __w[i + 2])))"))
     d = d.withColumn("__s", F.expr("if(size(array_distinct(__h)) = size(__h), cast(array() as array<struct<h: bigint, i: int>>), sort_array(transform(__h, (h, i) -> struct(h as h, i as i))))"))
     d = d.withColumn("__d", F.expr("if(size(__s) = 0, cast(array() as array<int>), sort_array(transform(filter(__s, (s, k) -> coalesce(get(__s, k - 1).h = s.h, false) or coalesce(get(__s, k + 1).h = s.h, false)), s -> s.i)))"))
     stop = ", ".join("'" + w + "'" for w in dict.fromkeys(STOP_WORDS))
@@ -79,15 +79,15 @@ def measured(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = (
         *[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)],
         F.expr("cast(size(__w) as bigint)").alias("n_words"),
         F.expr("cast(length(array_join(__w, '')) as bigint)").alias("word_chars"),
-        F.expr(f"cast(length(regexp_replace({t}, '[^#*$%&|<>]+', '')) as bigint)").alias("n_symbols"),
+        F.expr(f"cast(regexp_count({t}, '[#*$%&|<>]') as bigint)").alias("n_symbols"),
         F.expr("cast(size(__l) - size(array_distinct(__l)) as bigint)").alias("n_dup_lines"),
         F.expr("if(size(__d) = 0, 0L, aggregate(__d, struct(0L as n, -3 as last), (a, x) -> struct(a.n + least(3, x - a.last) as n, x as last), a -> a.n))").alias("n_repeat_words"),
         F.expr("cast(size(__l) as bigint)").alias("n_lines"),
-        F.expr(f"cast(length(regexp_replace({t}, '[^!]+', '')) as bigint)").alias("n_exclamations"),
-        F.expr(f"cast(length(regexp_replace({t}, '[\\\\x00-@\\\\x5B-`{{-\\\\x7F]+', '')) as bigint)").alias("n_letters"),
+        F.expr(f"cast(length({t}) - length(replace({t}, '!', '')) as bigint)").alias("n_exclamations"),
+        F.expr(f"cast(length({t}) - regexp_count({t}, '[\\\\x00-@\\\\x5B-`{{-\\\\x7F]') as bigint)").alias("n_letters"),
         F.expr("cast(size(filter(__l, x -> x rlike '(\\\\.\\\\.\\\\.|\\u2026)[\\\\x20\\\\x09-\\\\x0D]*$')) as bigint)").alias("n_ellipsis_lines"),
         F.expr("cast(size(filter(__l, x -> x rlike '^[\\\\x20\\\\x09-\\\\x0D]*[-*\\u2022]')) as bigint)").alias("n_bullet_lines"),
-        F.expr(f"if(size(__w) < 50, 0L, cast(size(filter(__w, w -> array_contains(array({stop}), lower(w)))) as bigint))").alias("n_stop_words"),
+        F.expr(f"if(size(__w) < 50, 0L, cast(size(filter(__w, w -> lower(w) in ({stop}))) as bigint))").alias("n_stop_words"),
     )
 
 
