@@ -402,3 +402,104 @@ def test_access_reads_one_block_a_plane():
     asked.clear()
     assert m.access(123_456) == a[123_456]
     assert len(asked) <= m.bits and sum(asked) < len(data) / 8
+
+
+def good(t):
+    """The threshold table of the first stage, by hand."""
+    t = t or ""
+    w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+    tri = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    again = {i + k for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    if len(w) < 50 or 100 * len(again) > 50 * len(w):
+        return False
+    chars, n, m = sum(map(len, w)), len(w), max(1, len(lines))
+    share = lambda x, of: x / max(1, of)
+    from ledgerloom.llm.rules import STOP_WORDS
+
+    return (
+        2 <= chars / n <= 15
+        and share(sum(t.count(c) for c in "#*$%&|<>"), n) <= 0.1
+        and share(t.count("!"), n) <= 0.3
+        and share(sum(c.isascii() and c.isalpha() or ord(c) > 127 for c in t), chars) >= 0.6
+        and share(len(lines) - len(set(lines)), m) <= 0.5
+        and share(sum(bool(re.search(r"(\.\.\.|…)\s*$", x)) for x in lines), m) <= 0.3
+        and share(sum(bool(re.match(r"\s*[-*•]", x)) for x in lines), m) <= 0.9
+        and share(sum(x.lower() in STOP_WORDS for x in w), n) >= 0.02
+    )
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage's rows against a plain version of its decisions, on what the stage before kept."""
+    import random
+
+    import corpus_pipeline as p
+    from ledgerloom.llm.toxicity import toxicity_scores
+
+    r = random.Random(12)
+    stop, names = "the of and to in is that for".split(), [f"word{i}" for i in range(400)]
+    prose = lambda n: [r.choice(stop) if r.random() < 0.3 else r.choice(names) for _ in range(n)]
+    rows = []
+    for i in range(240):
+        w = prose(r.randrange(55, 120))
+        if i % 6 == 0:
+            for _ in range(4):
+                w[r.randrange(len(w))] = "blockheaded"
+        rows.append((i, " ".join(w), "en", "abc"[i % 7 % 3], i))
+    for i in range(40):  # near copies, some of copies
+        w = rows[r.randrange(1, len(rows))][1].split()
+        w[r.randrange(len(w))] = "changed"
+        rows.append((300 + i, " ".join(w), None, None, None))
+    long = " ".join(prose(9000))
+    bad = ["#" * 9 + " word of " * 60, "! ! the word " + " ".join(prose(60)) + "!" * 40, "\n".join(["the same line"] * 40), "\n".join(f"{' '.join(prose(6))} ..." for _ in range(20)), "\n".join(f"- {' '.join(prose(6))}" for _ in range(20)), " ".join(names[:90]), "12 34 5678 of " * 30, "", None]
+    rows += [(400 + i, t, "en", "a", 1) for i, t in enumerate([long, long, long + " end", *bad])]
+    rows += [(5, rows[5][1], "en", "b", 5), (7, " ".join(prose(70)), "en", "b", 7), (None, " ".join(prose(80)), "en", "c", 8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    kept = [spark.read.parquet(f"{tmp_path}/documents.parquet")]
+    for name, stage in p.STAGES:
+        stage(spark, kept[-1], str(tmp_path)).write.parquet(f"{tmp_path}/{len(kept)}")
+        kept.append(spark.read.parquet(f"{tmp_path}/{len(kept)}"))
+    lists = [Counter(tuple(x) for x in d.collect()) for d in kept]
+
+    assert lists[1] == Counter({x: n for x, n in lists[0].items() if good(x[1])}) and 0 < sum(lists[1].values()) < len(rows) - 5
+    assert sum(lists[1][x] for x in lists[1] if x[0] is not None and 403 <= x[0] < 500) <= 1  # lists of points may be good
+
+    verdict = defaultdict(Counter)
+    for x in toxicity_scores(kept[1], labels).collect():
+        verdict[x["doc_id"]][x["predicted"]] += 1
+    per_id = Counter(x[0] for x in lists[2].elements())
+    assert all(per_id[i] == v[0] for i, v in verdict.items()) and not lists[2] - lists[1]
+    foul = {x for x in lists[1] if "blockheaded" in x[1]}
+    assert sum(lists[2][x] for x in foul) <= 0.05 * len(foul) and sum((lists[1] - lists[2])[x] for x in lists[1] if x not in foul) <= 0.02 * sum(lists[1].values())
+
+    whole = sorted(lists[2].elements(), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    numbered = [(i, x[1]) for i, x in enumerate(whole)]
+    roots = Counter(component for (_, _, component), n in brute_components(numbered, 5, 80).items() for _ in range(n))
+    least = [whole[i] for i in roots]
+    assert sum(lists[3].values()) == len(roots) < len(whole) and not lists[3] - lists[2]
+    assert Counter((x[0], x[1]) for x in lists[3].elements()) == Counter((x[0], x[1]) for x in least)
+
+    size = lambda t: len(WORD.findall(t or ""))
+    sizes = Counter()
+    for x, n in lists[3].items():
+        sizes[x[3]] += n * size(x[1])
+    want, got = mixing.targets(sizes), Counter()
+    for x, n in lists[4].items():
+        assert n <= 2 * lists[3][x]
+        got[x[3]] += n * size(x[1])
+    largest = {s: max(size(x[1]) for x in lists[3] if x[3] == s) for s in sizes}
+    assert all(abs(got[s] - want[s]) <= largest[s] / 2 + 1 for s in sizes)
+
+    ids = defaultdict(list)
+    for x in lists[4].elements():
+        ids[x[0]].append(ids_of(CLIP, x[1], 1))
+    pieces, sequences, covered = kept[5].collect(), defaultdict(list), Counter()
+    for x in pieces:
+        assert any(zlib.crc32(t[x["start"] : x["start"] + x["length"]].tobytes()) == x["ids_crc32"] and len(t) == x["doc_tokens"] for t in ids[x["doc_id"]])
+        sequences[x["sequence_id"]].append((x["offset"], x["length"]))
+        covered[x["doc_id"]] += x["length"]
+    assert covered == Counter({i: sum(map(len, t)) for i, t in ids.items()})
+    for s in sequences.values():
+        s.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(s, s[1:], strict=False)) and s[0][0] == 0 and sum(s[-1]) <= 2048
