@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +27,13 @@ def bucket(age: Column, buckets: tuple[int, ...] = (0, 1, 2, 3)) -> Column:
 class AgingSchedule:
     as_of: str
     aged: DataFrame  # rule_id, entry_id, first_seen, age_months, bucket
-    n_not_yet_posted: int
+    later: DataFrame  # the same of entries not yet posted
     buckets: tuple[int, ...] = (0, 1, 2, 3)
 
+    @cached_property
+    def n_not_yet_posted(self) -> int:
+        return self.later.count()
+
     def by_rule(self) -> DataFrame:
         """A row a rule with aged flags, a column a bucket; counts are of flags."""
         labels = bucket_labels(self.buckets)
@@ -56,5 +61,4 @@ def age_exceptions(flags: DataFrame, ledger: Ledger, as_of: str | None = None, b
     every = aged_flags(flags, ledger.entries, as_of, buckets)
     if tuple(buckets) != tuple(sorted(set(buckets))) or not buckets or buckets[0] != 0:
         raise ValueError("buckets rise from zero")
-    later = every.where("age_months < 0").count()
-    return AgingSchedule(as_of, every.where("age_months >= 0"), later, tuple(buckets))
+    return AgingSchedule(as_of, every.where("age_months >= 0"), every.where("age_months < 0"), tuple(buckets))
