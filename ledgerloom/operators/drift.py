@@ -105,7 +105,9 @@ def cell_entries(ledger: Ledger, report: DriftReport) -> DataFrame:
     kinds = entry_dimensions()
     names = [d for d in SUPPORTED if d in kinds]
     cells = e.select("entry_id", F.col("posting_period").alias("period"), F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), kinds[d].alias("category")) for d in names])).alias("c")).select("entry_id", "period", "c.*")
-    return cells.join(grew, ["period", "dimension", "category"])
+    # shares of a period add up to 1 and each grew by min_shift, so 1 / min_shift categories
+    # of a dimension and period are here at most
+    return cells.join(F.broadcast(grew), ["period", "dimension", "category"])
 
 
 class ProfileDrift(Rule):
