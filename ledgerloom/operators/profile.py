@@ -36,10 +36,8 @@ def composition(entries: DataFrame, by: list[str] | None = None, dimensions: lis
     if chosen:
         out = e.select(*by, cells.alias("c")).groupBy(*by, "c.dimension", "c.category").agg(F.count("*").alias("k"))
     if not by and "by_weekday" in chosen:
-        days = e.sparkSession.range(7).select(F.lit("by_weekday").alias("dimension"), F.col("id").cast("string").alias("category"))
-        rest = out.where("dimension <> 'by_weekday'")
-        filled = days.join(out, ["dimension", "category"], "left").select("dimension", "category", F.coalesce("k", F.lit(0)).alias("k"))
-        out = rest.unionByName(filled)
+        days = e.sparkSession.range(7).select(F.lit("by_weekday").alias("dimension"), F.col("id").cast("string").alias("category"), F.lit(0).cast("bigint").alias("k"))
+        out = out.unionByName(days).groupBy("dimension", "category").agg(F.sum("k").alias("k"))
     if dimensions is None or "by_account" in dimensions:
         lines = e.select(*by, F.explode("lines.account_id").alias("category"), F.lit("by_account").alias("dimension")).groupBy(*by, "dimension", "category").agg(F.count("*").alias("k"))
         out = lines if out is None else out.unionByName(lines)
